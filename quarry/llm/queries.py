@@ -5,10 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe
+from quarry.llm import bpe, chat, html_main, mixing, quality
+from quarry.llm.oracles import ORACLE_SQL
 from quarry.session import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = spark.sql(
+        "SELECT CAST(-7 AS BIGINT) conv_id, CAST(0 AS BIGINT) turn, 'user' role, '</s>[INST] ok [/INST]' text UNION ALL SELECT CAST(-7 AS BIGINT), CAST(1 AS BIGINT), 'assistant', '</s>[INST] ok [/INST]'"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(marked)
+    back = chat.read_back(chat.windows(rows))
+    said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    parts = back.select("conv_id", F.struct("window", F.size("turns").alias("n"), said.alias("said"), F.array_join("targets", "").alias("loss"), F.length("formatted").alias("chars")).alias("w"))
+    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    said, loss = F.array_join("w.said", ""), F.array_join("w.loss", "")
+    add = lambda c: F.aggregate(F.col(f"w.{c}"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return whole.select(
+        "conv_id",
+        add("n").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        add("chars").alias("formatted_chars"),
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ordered = [rule for rule, _, _ in quality.plan(docs)]
+    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    return quality.with_features(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.expr(quality.cascade(ordered))).alias("kept")
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,8 +52,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
+    "op1_chat": op1_chat,
+    "op4_quality": op4_quality,
+    "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
+    "op10_html": op10_html,
 }
-
-ORACLE_SQL: dict[str, str] = {}
