@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, html_main, mixing, quality
+from quarry.llm import bpe, chat, html_main, mixing, quality, toxicity
 from quarry.llm.oracles import ORACLE_SQL
 from quarry.session import table
 
@@ -31,6 +31,16 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), trainable=~held_out())
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ordered = [rule for rule, _, _ in quality.plan(docs)]
@@ -58,6 +68,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_toxicity": op2_toxicity,
     "op4_quality": op4_quality,
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
