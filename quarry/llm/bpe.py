@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the memo of encoded pieces, for each Python worker: two generations of so many entries, pieces up to so many bytes.
-MEMO_ENTRIES, MEMO_BYTES = 300_000, 64
+MEMO_ENTRIES, MEMO_BYTES = 120_000, 64
 #: Bound of the memo of token pairs, for each Python worker.
 PAIR_ENTRIES = 1_000_000
 
@@ -199,7 +199,7 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_loaded: dict[tuple[str, str], ByteBPE] = {}
+_loaded: dict = {}
 
 
 def load(rank_file: str, pattern: str) -> ByteBPE:
@@ -210,6 +210,16 @@ def load(rank_file: str, pattern: str) -> ByteBPE:
     return _loaded[key]
 
 
+def load_tokens(rank_file: str) -> list[bytes]:
+    """The bytes of each token, all that decoding needs."""
+    key = (rank_file, "")
+    if key not in _loaded:
+        with open(rank_file, "rb") as f:
+            ranks = {int(rank): base64.b64decode(tok) for tok, rank in (line.split() for line in f if line.strip())}
+        _loaded[key] = [ranks.get(i, b"") for i in range(max(ranks) + 1)]
+    return _loaded[key]
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """(doc_id, ids, n_tokens) for each row of ``docs`` (doc_id, text). ``rank_file`` is a path that every worker can read."""
 
@@ -222,13 +232,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED_SCHEMA)
 
 
-def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     """(doc_id, ids, n_tokens, decoded binary) for each row of ``encode``'s result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(rank_file, pattern)
+        token = load_tokens(rank_file).__getitem__
         for batch in batches:
-            raw = [bpe.decode(np.frombuffer(x.as_py() or b"", dtype="<u4").tolist()) for x in batch.column(1)]
+            raw = [b"".join(map(token, np.frombuffer(x.as_py() or b"", dtype="<u4").tolist())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
 
     return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, ENCODED_SCHEMA + ", decoded binary")
