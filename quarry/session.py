@@ -32,7 +32,16 @@ def local_session(app: str = "quarry", cores: int | str = 8, partitions: int = 8
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that share this file system import the package, wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,6 +54,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files: lost executors cost a re-read only."""
+    importable(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -69,4 +79,4 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
     return big.join(small.hint("merge"), on, how)
 
 
-__all__ = ["BROADCAST_LIMIT", "cut", "ensure_checkpoint_dir", "join_checked", "local_session", "measured_bytes", "shuffle_partitions", "table"]
+__all__ = ["BROADCAST_LIMIT", "cut", "ensure_checkpoint_dir", "importable", "join_checked", "local_session", "measured_bytes", "shuffle_partitions", "table"]
