@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, html_main, mixing, quality, toxicity
+from quarry.llm import bpe, chat, fm_dedup, html_main, mixing, quality, suffix_dedup, toxicity
 from quarry.llm.oracles import ORACLE_SQL
 from quarry.session import table
 
@@ -50,6 +50,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
 
@@ -70,6 +78,8 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_toxicity": op2_toxicity,
     "op4_quality": op4_quality,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
     "op10_html": op10_html,
