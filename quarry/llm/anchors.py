@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import cut, join_checked, shuffle_partitions
@@ -139,10 +139,14 @@ class Reader:
     gram: int
 
 
+def row_id() -> Column:
+    """A hash of doc_id and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("")))
+
+
 def with_row_ids(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, text): rows with equal doc_id and text are one row as far as results go, so rid may be their hash."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text).alias("rid"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("rid"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def candidates(docs: DataFrame, reader: Reader) -> DataFrame:

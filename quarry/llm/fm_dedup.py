@@ -21,9 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.llm import anchors
 from quarry.llm.anchors import Group, Reader
+from quarry.session import join_checked
 
 _NONE = -(2**63)  # how ``anchors`` writes a null doc_id
 
@@ -208,6 +210,34 @@ def deduplicated(docs: DataFrame, length: int = 13) -> DataFrame:
     return repeated(docs, length).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def cleaned(docs: DataFrame, length: int = 13) -> DataFrame:
+    """``docs`` with the repeated windows cut out of ``text``: where nothing goes the text stays as it is, else the remaining words
+    are joined by one space; ``n_chars``, if there is one, follows."""
+    spans = anchors.repeated_spans(anchors.with_row_ids(docs), reader(length), _judge(length))
+    names = [c for c in docs.columns if c != "text"]
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
+    keyed = spans.select(F.col("rid").alias("_rid"), key.alias("_key"), F.col("spans").alias("_spans"))
+    joined = join_checked(docs.withColumns({"_rid": anchors.row_id(), "_key": key}), keyed, ["_rid", "_key"], "left").select(*names, "text", "_spans")
+    schema = type(docs.schema)([*docs.select(*names).schema.fields]).add("text", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, spans in zip(b.column(len(names)), b.column(len(names) + 1)):
+                s = anchors.merged_spans(spans.as_py())
+                t = text.as_py()
+                if len(s):
+                    words = t.encode("utf-8", "surrogatepass").split()
+                    t = b" ".join(w for a, e in zip([0, *s[:, 1].tolist()], [*s[:, 0].tolist(), len(words)]) for w in words[a:e]).decode("utf-8", "surrogatepass")
+                texts.append(t)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(texts, pa.string())], [*names, "text"])
+
+    out = joined.mapInArrow(run, schema)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def brute_force(rows: list[tuple[int, str | None]], length: int) -> list[tuple[int, int, str]]:
     """(words, removed, kept) by the definition, for tests."""
     split = [(d, (t or "").encode().split()) for d, t in rows]

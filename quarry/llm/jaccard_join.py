@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.anchors import gram_hashes, with_row_ids
+from quarry.llm.anchors import gram_hashes, row_id, with_row_ids
 from quarry.llm.components import components
 from quarry.session import cut, join_checked, shuffle_partitions
 
@@ -315,7 +315,7 @@ def links(rows: DataFrame, table: DataFrame, words: int, percent: int) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, rid, n_shingles, component_id) for each row: texts whose sets have a Jaccard similarity of ``percent`` or more are linked."""
+    """(doc_id, rid, n_shingles, component_id, root) for each row; ``root`` names the component, null for empty sets: texts whose sets have a Jaccard similarity of ``percent`` or more are linked."""
     if not 50 <= percent <= 100 or words < 1:
         raise ValueError("percent must be from 50 to 100, words at least 1")
     rows = with_row_ids(docs)
@@ -323,7 +323,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     roots = cut(components(links(rows, table, words, percent)).withColumnRenamed("node", "cls"))
     rooted = join_checked(table, roots, ["cls"], "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", "rid", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return rooted.join(least, "root", "left").select("doc_id", "rid", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "root")
+
+
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the least doc_id (null last), and all with empty sets."""
+    found = cut(near_duplicates(docs, words, percent))
+    kept = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")).select("first.rid")
+    kept = cut(kept.unionAll(found.where("root IS NULL").select("rid")).distinct())
+    out = join_checked(docs.withColumn("_rid", row_id()), kept.withColumnRenamed("rid", "_rid"), ["_rid"], "left_semi")
+    if found.where("root IS NOT NULL").groupBy("rid").count().where("count > 1").limit(1).count():  # equal rows: one stays
+        empty = out.where(F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]", "")), F.lit(0)) == 0)
+        out = out.where(F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]", "")), F.lit(0)) > 0).dropDuplicates(["_rid"]).unionByName(empty)
+    return out.select(*docs.columns)
 
 
 def brute_force(rows: list[tuple[int, str | None]], words: int, percent: int) -> list[tuple[int, int, int]]:

@@ -29,13 +29,15 @@ RANGES, STEPS = 4096, 4096
 SORT_ROWS = 50_000
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, key): the words of each text and the place of the document in its source's shuffled queue."""
+def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, key): the words of each text and the place of the document in its source's shuffled queue; and
+    the columns of ``carry``."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"),
+        *carry,
     )
 
 
@@ -117,17 +119,25 @@ def taken_epochs(last: tuple | None, max_epochs: int = 3) -> Column:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, budget: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, budget: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, finish) for each document; ``epochs`` copies of it are in the mix.
     ``budget``: total tokens, by default all there are."""
-    rows = cut(sized(docs))
+    rows = cut(sized(docs, carry))
     queue = cut(queued(rows, source_targets(rows, weights, max_epochs)))
     total = queue.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] if budget is None else budget
     last = find_cut(queue, total, max_epochs)
-    return queue.select("doc_id", "source", "size", "source_size", "target", taken_epochs(last, max_epochs).alias("epochs"), finish(F.lit(0)).alias("finish"), "key", "rank", "upto")
+    return queue.select("doc_id", "source", "size", "source_size", "target", taken_epochs(last, max_epochs).alias("epochs"), finish(F.lit(0)).alias("finish"), "key", "rank", "upto", *carry)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, budget: int | None = None) -> DataFrame:
     """The mix itself: a row for each copy taken, range-sorted by virtual finish time."""
     out = mix(docs, weights, max_epochs, budget).where("epochs > 0").withColumn("epoch", F.explode(F.expr("sequence(0, epochs - 1)")))
     return out.withColumn("finish", finish(F.col("epoch"))).orderBy("finish", "rank", "key", "doc_id", "epoch").select("doc_id", "source", "size", "epoch", "finish")
+
+
+def repeated_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, budget: int | None = None) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: a row stands in the result as often as its document is taken."""
+    rid = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", "source", "text")))
+    keyed = docs.withColumn("_rid", rid)
+    taken = cut(mix(keyed, weights, max_epochs, budget, ("_rid",)).where("epochs > 0").groupBy("_rid").agg(F.max("epochs").alias("_epochs")))
+    return join_checked(keyed, taken, ["_rid"]).withColumn("_epoch", F.explode(F.expr("sequence(1, _epochs)"))).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, fm_dedup, html_main, jaccard_join, mixing, quality, suffix_dedup, toxicity
+from quarry.llm import bpe, chat, fm_dedup, hnsw, html_main, jaccard_join, mixing, quality, suffix_dedup, toxicity
 from quarry.llm.oracles import ORACLE_SQL
 from quarry.session import table
 
@@ -58,6 +58,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality": op4_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_hnsw": op6_hnsw,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,

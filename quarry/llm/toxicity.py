@@ -167,3 +167,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(t.as_py()) for t in text], pa.float64())], names)
 
     return docs.mapInArrow(run, type(fields)([*fields.fields]).add("score", "double"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is under ``threshold``, by a model of the labels of their own documents."""
+    model = fit(docs, labels)
+    scored = score(docs.withColumnsRenamed({"score": "_score"}), model) if "score" in docs.columns else score(docs, model)
+    return scored.where(F.col("score") < threshold).drop("score").withColumnsRenamed({"_score": "score"}).select(*docs.columns)
