@@ -28,10 +28,10 @@ class BM25:
         if self.k1 < 0 or not 0 <= self.b <= 1:
             raise ValueError("k1 must be at least 0 and b between 0 and 1")
 
-    def contributions(self, index: Index, queries: DataFrame) -> DataFrame:
-        """(query_id, doc_id, term, score) for queries (query_id, term), each term once."""
+    def contributions(self, index: Index, queries: DataFrame, few: bool = False) -> DataFrame:
+        """(query_id, doc_id, term, score) for queries (query_id, term), each term once. ``few``: known to be few terms."""
         terms = queries.select("query_id", "term").distinct()
-        small = terms.count() <= BROADCAST_TERMS
+        small = few or terms.count() <= BROADCAST_TERMS
         hits = index.postings.select("term", "doc_id", "tf").join(F.broadcast(terms) if small else terms, "term")
         df = hits.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
         n = index.documents.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avgdl"))
@@ -42,14 +42,16 @@ class BM25:
         score = idf * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * dl / avgdl))
         return rows.select("query_id", "doc_id", "term", score.alias("score"))
 
-    def score_many(self, index: Index, queries: DataFrame) -> DataFrame:
+    def score_many(self, index: Index, queries: DataFrame, few: bool = False) -> DataFrame:
         """(query_id, doc_id, bm25, matched_terms), only documents with a score above 0."""
-        c = self.contributions(index, queries)
+        c = self.contributions(index, queries, few)
         return c.groupBy("query_id", "doc_id").agg(F.sum("score").alias("bm25"), F.sort_array(F.collect_set("term")).alias("matched_terms")).where("bm25 > 0")
 
     def score(self, index: Index, query: str) -> DataFrame:
-        """(doc_id, bm25, matched_terms) of one query."""
-        return self.score_many(index, one_query(index.postings.sparkSession, index.tokenizer.python(query))).drop("query_id")
+        """(doc_id, bm25, matched_terms) of one query. Its terms are a filter on the postings, which a saved index prunes files by."""
+        terms = uses(index.tokenizer.python(query))
+        asked = Index(index.postings.where(F.col("term").isin(*terms)), index.documents, index.tokenizer)
+        return self.score_many(asked, one_query(index.postings.sparkSession, terms), few=True).drop("query_id")
 
 
 def one_query(spark: SparkSession, terms: list[str]) -> DataFrame:
