@@ -54,6 +54,42 @@ def gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
     return out * _BASE
 
 
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 17)
+        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def words_of(raw: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of a text, words being runs of anything but the six ASCII white spaces. ``lower``: A-Z count as a-z.
+    The hash is a polynomial in the word's bytes, taken from running sums over the whole text."""
+    b = np.frombuffer(raw, np.uint8)
+    if not len(b):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none
+    space = _SPACES[b]
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    powers, inverse = _power_tables(len(b))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((_LOWER[b] if lower else b).astype(np.uint64) * powers[: len(b)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _MIX
+    h ^= h >> np.uint64(32)
+    return h * _MIX, starts, ends
+
+
 @dataclass
 class Runs:
     """Runs of a batch of documents: row of the batch, first and last window start in the document, anchor there, key."""
@@ -240,24 +276,32 @@ def segments(docs: DataFrame, found: DataFrame, reader: Reader) -> DataFrame:
     return joined.mapInArrow(cut_out, "key long, anchor int, content binary, docs binary, rids binary, starts binary")
 
 
+def _column_slices(column: pa.Array) -> tuple[np.ndarray, list[int]]:
+    """All 64-bit integers of a column of packed ones, and where each row's begin."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.int64) if offsets[-1] > offsets[0] else np.zeros(0, np.int64)
+    return values, ((offsets - offsets[0]) // 8).tolist()
+
+
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
     """Key groups of a partition sorted by key; equal contents become one with all their members."""
     now: Group | None = None
     known: dict[tuple[int, bytes], int] = {}
     for b in batches:
-        keys, anchors = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for i, key in enumerate(keys):
+        packed = [_column_slices(b.column(j)) for j in (3, 4, 5)]
+        at_rows = packed[0][1]
+        for i, (key, anchor, content) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)))):
             if now is None or key != now.key:
                 if now is not None:
                     yield now
                 now, known = Group(key), {}
-            content = b.column(2)[i].as_py()
-            who = [np.frombuffer(b.column(j)[i].as_py(), np.int64) for j in (3, 4, 5)]
-            at = known.get((anchors[i], content))
+            lo, hi = at_rows[i], at_rows[i + 1]
+            who = [v[lo:hi] for v, _ in packed]
+            at = known.get((anchor, content))
             if at is None:
-                known[anchors[i], content] = len(now.contents)
+                known[anchor, content] = len(now.contents)
                 now.contents.append(content)
-                now.anchors.append(anchors[i])
+                now.anchors.append(anchor)
                 now.members.append([who])
                 now.symbols += len(content)
             else:
@@ -266,6 +310,10 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
         yield now
 
 
+def joined_members(members: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return members[0] if len(members) == 1 else [np.concatenate([m[j] for m in members]) for j in range(3)]
+
+
 def collections(found: Iterator[Group]) -> Iterator[list[Group]]:
     """Groups put together up to a bounded size."""
     out: list[Group] = []
@@ -280,44 +328,57 @@ def collections(found: Iterator[Group]) -> Iterator[list[Group]]:
         yield out
 
 
-def spans_by_document(rows: DataFrame) -> DataFrame:
-    """(doc_id, rid, spans): all (start, end) pairs of a document, packed, from rows of some of them."""
-    return rows.groupBy("doc_id", "rid").agg(F.array_join(F.collect_list(F.hex("spans")), "").alias("spans")).select("doc_id", "rid", F.unhex("spans").alias("spans"))
+#: What a judge gives for a collection: doc_ids, rids, starts and ends of spans to remove.
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def expanded(members: list[np.ndarray], which: np.ndarray, spans: np.ndarray) -> Spans:
+    """The (start, end) rows of a content at each of the chosen members."""
+    docs, rids, starts = (m[which] for m in members)
+    k = len(spans)
+    return np.repeat(docs, k), np.repeat(rids, k), (starts[:, None] + spans[:, 0]).ravel(), (starts[:, None] + spans[:, 1]).ravel()
 
 
-def repeated_spans(docs: DataFrame, reader: Reader, judge: Callable[[list[Group]], Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]]) -> DataFrame:
-    """(doc_id, rid, spans) for documents with removable spans. ``judge`` gets a collection and gives (doc_ids, rids, packed spans of each)."""
+def with_spans(docs: DataFrame, reader: Reader, judge: Callable[[list[Group]], Iterator[Spans]]) -> DataFrame:
+    """(doc_id, rid, text, spans) for every document; ``spans``: array of (doc_id, start, end), null where nothing goes; those
+    of another doc_id (a rid met twice) are not the document's. ``judge`` gets a collection. Both joins with the texts are on rid, so
+    where both shuffle, one exchange of the texts serves both."""
     found = cut(candidates(docs, reader))
     buckets = shuffle_partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for collection in collections(groups(batches)):
-            ids, rids, spans = [], [], []
-            for d, r, s in judge(collection):
-                ids.append(d)
-                rids.append(r)
-                spans.append(s)
-            if ids:
-                flat = [x for part in spans for x in part]
-                doc = np.concatenate(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=doc == -(2**63)), pa.array(np.concatenate(rids), pa.int64()), pa.array(flat, pa.binary())], ["doc_id", "rid", "spans"])
-
-    rows = segments(docs, found, reader).repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, rid long, spans binary")
-    return cut(spans_by_document(rows))
+            parts = list(judge(collection))
+            if parts:
+                doc, *rest = (np.concatenate([p[j] for p in parts]) for j in range(4))
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=doc == -(2**63)), *(pa.array(x, pa.int64()) for x in rest)], ["doc_id", "rid", "start", "end"])
+
+    rows = segments(docs, found, reader).repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, rid long, start long, end long")
+    spans = rows.groupBy("rid").agg(F.collect_list(F.struct("doc_id", "start", "end")).alias("spans"))
+    return docs.hint("merge").join(spans, "rid", "left").select("doc_id", "rid", "text", "spans")
+
+
+def spans_of(column: pa.Array, doc_ids: pa.Array) -> Iterator[np.ndarray]:
+    """Merged (start, end) rows of each row of a batch of ``with_spans``."""
+    flat = column.flatten()
+    offsets = np.concatenate(([0], np.cumsum([len(x) if x.is_valid else 0 for x in column])))
+    fields = [np.asarray(flat.field(j).fill_null(-(2**63))) for j in range(3)]
+    for i, d in enumerate(doc_ids.to_pylist()):
+        lo, hi = offsets[i], offsets[i + 1]
+        if lo == hi:
+            yield _NO_SPANS
+            continue
+        own = fields[0][lo:hi] == (-(2**63) if d is None else d)
+        yield merged_spans(np.stack([fields[1][lo:hi][own], fields[2][lo:hi][own]], axis=1))
 
 
-def attach(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, rid, text, spans) for every document, spans null where nothing goes."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    keyed = spans.select("rid", key.alias("_key"), "spans")
-    return join_checked(docs.withColumn("_key", key), keyed, ["rid", "_key"], "left").select("doc_id", "rid", "text", "spans")
+_NO_SPANS = np.zeros((0, 2), np.int64)
 
 
-def merged_spans(packed: bytes | None) -> np.ndarray:
+def merged_spans(s: np.ndarray) -> np.ndarray:
     """(start, end) rows, sorted, overlapping and touching ones joined."""
-    if not packed:
-        return np.zeros((0, 2), np.int64)
-    s = np.frombuffer(packed, np.int64).reshape(-1, 2)
+    if not len(s):
+        return s
     s = s[np.lexsort((s[:, 1], s[:, 0]))]
     reach = np.maximum.accumulate(s[:, 1])
     new = np.concatenate(([True], s[1:, 0] > reach[:-1]))
@@ -327,7 +388,7 @@ def merged_spans(packed: bytes | None) -> np.ndarray:
 
 
 def window_spans(flags: np.ndarray, length: int) -> np.ndarray:
-    """Packed-ready (start, end) rows of the symbols that the flagged windows cover."""
+    """(start, end) rows of the symbols that the flagged windows cover."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
     starts, ends = edges[::2], edges[1::2] - 1 + length
     return np.stack([starts, ends], axis=1).astype(np.int64)

@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import anchors
-from quarry.llm.anchors import Group, Reader
-from quarry.session import join_checked
+from quarry.llm.anchors import Group, Reader, Spans
 
 _NONE = -(2**63)  # how ``anchors`` writes a null doc_id
 
@@ -104,9 +103,9 @@ def _range_min_table(values: np.ndarray) -> list[np.ndarray]:
 
 
 def least_documents(contents: list[bytes], documents: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each window of each content (words joined by spaces) the least of ``documents`` among the contents that have it."""
+    """For each window of each content the least of ``documents`` among the contents that have it."""
     words: dict[bytes, int] = {}
-    ids = [np.array([words.setdefault(w, len(words) + 1) for w in c.split(b" ")], np.int64) for c in contents]
+    ids = [np.array([words.setdefault(w, len(words) + 1) for w in c.split()], np.int64) for c in contents]
     sizes = np.array([len(x) for x in ids])
     # number words in the order of their first use; 0 ends a segment
     text = np.zeros(int(sizes.sum()) + len(ids), np.int64)
@@ -130,67 +129,51 @@ def least_documents(contents: list[bytes], documents: np.ndarray, length: int) -
 
 
 def _judge(length: int):
-    def judge(collection: list[Group]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    def judge(collection: list[Group]) -> Iterator[Spans]:
         last = np.iinfo(np.int64).max
-        firsts = [[min((int(d) for m in ms for d in m[0] if d != _NONE), default=last) for ms in g.members] for g in collection]
-        several = [k for k, g in enumerate(collection) if len(g.contents) > 1]
-        found: dict[int, list[np.ndarray]] = {}
-        if several:
-            flat = least_documents([c for k in several for c in collection[k].contents], np.array([d for k in several for d in firsts[k]], np.int64), length)
-            at = 0
-            for k in several:
-                found[k] = flat[at : at + len(firsts[k])]
-                at += len(firsts[k])
-        for k, g in enumerate(collection):
-            for i, members in enumerate(g.members):
-                least = found[k][i] if k in found else np.array([firsts[k][i]])
-                lowest = int(least.min())
-                for docs, rids, starts in members:
-                    later = np.flatnonzero((docs > lowest) & (docs != _NONE))
-                    spans: list[bytes] = []
-                    for j in later.tolist():
-                        flags = least < docs[j]
-                        if k not in found:
-                            flags = np.ones(g.contents[i].count(b" ") + 2 - length, bool)
-                        spans.append((anchors.window_spans(flags, length) + starts[j]).tobytes())
-                    if spans:
-                        yield docs[later], rids[later], spans
+        several: list[tuple[bytes, list[np.ndarray]]] = []
+        firsts: list[int] = []
+        for g in collection:
+            whos = [anchors.joined_members(ms) for ms in g.members]
+            lows = [int(np.where(w[0] == _NONE, last, w[0]).min()) for w in whos]
+            low = min(lows)
+            if all(int(w[0].max()) <= low for w in whos):
+                continue  # nobody comes later
+            if len(whos) == 1:
+                yield anchors.expanded(whos[0], np.flatnonzero(whos[0][0] > low), np.array([[0, len(g.contents[0].split())]]))
+            else:
+                several += zip(g.contents, whos)
+                firsts += lows
+        if not several:
+            return
+        found = least_documents([c for c, _ in several], np.array(firsts, np.int64), length)
+        for (_, who), least in zip(several, found):
+            docs = who[0]
+            for d in np.unique(docs[docs > int(least.min())]).tolist():
+                spans = anchors.window_spans(least < d, length)
+                yield anchors.expanded(who, np.flatnonzero(docs == d), spans)
 
     return judge
 
 
-_known: dict[bytes, int] = {}
+def _codes(text: str) -> tuple[np.ndarray, tuple[bytes, np.ndarray, np.ndarray]]:
+    raw = text.encode("utf-8", "surrogatepass")
+    codes, starts, ends = anchors.words_of(raw)
+    return codes, (raw, starts, ends)
 
 
-def _codes(text: str) -> tuple[np.ndarray, list[bytes]]:
-    """Words as hashes (equal words have equal ones, which is all that anchors need); bytes split at just the six ASCII spaces."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    if len(_known) > 500_000:
-        _known.clear()
-    try:
-        codes = list(map(_known.__getitem__, words))
-    except KeyError:
-        for w in words:
-            if w not in _known:
-                _known[w] = _stable(w)
-        codes = list(map(_known.__getitem__, words))
-    return np.array(codes, np.uint64), words
-
-
-def _stable(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
+def _content(view: tuple[bytes, np.ndarray, np.ndarray], a: int, b: int) -> bytes:
+    raw, starts, ends = view
+    return raw[starts[a] : ends[b - 1]]
 
 
 def reader(length: int) -> Reader:
-    return Reader(_codes, lambda words, a, b: b" ".join(words[a:b]), length, max(1, min(5, length // 2)))
+    return Reader(_codes, _content, length, max(1, min(5, length // 2)))
 
 
 def repeated(docs: DataFrame, length: int = 13) -> DataFrame:
-    """(doc_id, rid, text, spans): ``spans`` packs the (start, end) word ranges to remove, as 64-bit integers, null for none."""
-    rows = anchors.with_row_ids(docs)
-    return anchors.attach(rows, anchors.repeated_spans(rows, reader(length), _judge(length)))
+    """(doc_id, rid, text, spans): ``spans`` has the (doc_id, start, end) word ranges to remove, null for none."""
+    return anchors.with_spans(anchors.with_row_ids(docs), reader(length), _judge(length))
 
 
 def deduplicated(docs: DataFrame, length: int = 13) -> DataFrame:
@@ -199,9 +182,8 @@ def deduplicated(docs: DataFrame, length: int = 13) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[], [], []]
-            for text, spans in zip(b.column(1), b.column(2)):
+            for text, s in zip(b.column(1), anchors.spans_of(b.column(2), b.column(0))):
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
-                s = anchors.merged_spans(spans.as_py())
                 kept = [w for a, e in zip([0, *s[:, 1].tolist()], [*s[:, 0].tolist(), len(words)]) for w in words[a:e]] if len(s) else words
                 for c, v in zip(cols, (len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass"))):
                     c.append(v)
@@ -213,18 +195,17 @@ def deduplicated(docs: DataFrame, length: int = 13) -> DataFrame:
 def cleaned(docs: DataFrame, length: int = 13) -> DataFrame:
     """``docs`` with the repeated windows cut out of ``text``: where nothing goes the text stays as it is, else the remaining words
     are joined by one space; ``n_chars``, if there is one, follows."""
-    spans = anchors.repeated_spans(anchors.with_row_ids(docs), reader(length), _judge(length))
     names = [c for c in docs.columns if c != "text"]
-    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
-    keyed = spans.select(F.col("rid").alias("_rid"), key.alias("_key"), F.col("spans").alias("_spans"))
-    joined = join_checked(docs.withColumns({"_rid": anchors.row_id(), "_key": key}), keyed, ["_rid", "_key"], "left").select(*names, "text", "_spans")
+    spans = repeated(docs, length).where("spans IS NOT NULL").select(F.col("rid").alias("_rid"), F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans")).dropDuplicates(["_rid", "_doc"])
+    mine = docs.withColumns({"_rid": anchors.row_id(), "_doc": F.col("doc_id").cast("long")})
+    spans = spans.withColumnsRenamed({"_rid": "_r", "_doc": "_d"})
+    joined = mine.join(spans, (F.col("_rid") == F.col("_r")) & F.col("_doc").eqNullSafe(F.col("_d")), "left").select(*names, "text", "_spans", "_doc")
     schema = type(docs.schema)([*docs.select(*names).schema.fields]).add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, spans in zip(b.column(len(names)), b.column(len(names) + 1)):
-                s = anchors.merged_spans(spans.as_py())
+            for text, s in zip(b.column(len(names)), anchors.spans_of(b.column(len(names) + 1), b.column(len(names) + 2))):
                 t = text.as_py()
                 if len(s):
                     words = t.encode("utf-8", "surrogatepass").split()

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.anchors import gram_hashes, row_id, with_row_ids
+from quarry.llm.anchors import gram_hashes, row_id, with_row_ids, words_of
 from quarry.llm.components import components
 from quarry.session import cut, join_checked, shuffle_partitions
 
@@ -42,24 +42,11 @@ REGION = 1 << 21
 #: Sets of a block inside a region, pivots of a region, shingles of a slice of the matrix product.
 ROWS, PIVOTS, SLICE = 256, 8, 1 << 14
 
-_known: dict[bytes, int] = {}
-
 
 def shingles(text: str, words: int) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
-    split = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and the six ASCII spaces
-    if not split:
-        return np.zeros(0, np.uint64)
-    if len(_known) > 500_000:
-        _known.clear()
-    try:
-        codes = list(map(_known.__getitem__, split))
-    except KeyError:
-        for w in split:
-            if w not in _known:
-                _known[w] = xxhash.xxh3_64_intdigest(w)
-        codes = list(map(_known.__getitem__, split))
-    return np.unique(gram_hashes(np.array(codes, np.uint64), min(words, len(codes))))
+    codes = words_of(text.encode("utf-8", "surrogatepass"), lower=True)[0]
+    return np.unique(gram_hashes(codes, min(words, len(codes)))) if len(codes) else np.zeros(0, np.uint64)
 
 
 def _class(s: np.ndarray) -> int:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm import anchors
-from quarry.llm.anchors import Group, Reader
+from quarry.llm.anchors import Group, Reader, Spans
 
 BLOCK = 8
 
@@ -160,7 +160,7 @@ def repeated_windows(contents: list[bytes], offsets: list[int], times: np.ndarra
 
 
 def _judge(length: int):
-    def judge(collection: list[Group]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    def judge(collection: list[Group]) -> Iterator[Spans]:
         open_groups = [g for g in collection if len(g.contents) > 1]
         contents = [c for g in open_groups for c in g.contents]
         times = np.array([sum(len(m[0]) for m in ms) for g in open_groups for ms in g.members])
@@ -172,20 +172,15 @@ def _judge(length: int):
         at = 0
         for g in collection:
             for content, members in zip(g.contents, g.members):
-                n = sum(len(m[0]) for m in members)
-                if len(g.contents) > 1:
-                    here = found[at]
-                    at += 1
-                    if n > 1:
-                        here = np.ones(len(here), bool)
-                elif n > 1:
-                    here = np.ones(len(content) - length + 1, bool)
-                else:
-                    continue
-                spans = anchors.window_spans(here, length)
-                if len(spans):
-                    for d, r, starts in members:
-                        yield d, r, [(spans + s).tobytes() for s in starts.tolist()]
+                who = anchors.joined_members(members)
+                n = len(who[0])
+                at += len(g.contents) > 1
+                if n > 1:
+                    yield anchors.expanded(who, np.arange(n), np.array([[0, len(content)]]))
+                elif len(g.contents) > 1:
+                    spans = anchors.window_spans(found[at - 1], length)
+                    if len(spans):
+                        yield anchors.expanded(who, np.arange(1), spans)
 
     return judge
 
@@ -200,11 +195,10 @@ def reader(length: int) -> Reader:
 
 
 def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(doc_id, rid, text, spans): ``spans`` packs the (start, end) byte ranges to remove, as 64-bit integers, null for none."""
+    """(doc_id, rid, text, spans): ``spans`` has the (doc_id, start, end) byte ranges to remove, null for none."""
     if length < 2 * BLOCK:
         raise ValueError(f"length must be at least {2 * BLOCK}")
-    rows = anchors.with_row_ids(docs)
-    return anchors.attach(rows, anchors.repeated_spans(rows, reader(length), _judge(length)))
+    return anchors.with_spans(anchors.with_row_ids(docs), reader(length), _judge(length))
 
 
 def deduplicated(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -213,9 +207,8 @@ def deduplicated(docs: DataFrame, length: int = 200) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[], [], [], []]
-            for text, spans in zip(b.column(1), b.column(2)):
+            for text, s in zip(b.column(1), anchors.spans_of(b.column(2), b.column(0))):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
-                s = anchors.merged_spans(spans.as_py())
                 kept = b"".join(raw[a:e] for a, e in zip([0, *s[:, 1].tolist()], [*s[:, 0].tolist(), len(raw)]))
                 for c, v in zip(cols, (len(raw), len(raw) - len(kept), len(s), kept)):
                     c.append(v)
