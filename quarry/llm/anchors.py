@@ -220,18 +220,37 @@ def candidates(docs: DataFrame, reader: Reader) -> DataFrame:
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         twice = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-        rid, run = rid[twice], run[twice]
+        yield from dealt(rid[twice], run[twice])
+
+    def dealt(rid: np.ndarray, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Packed by where the document goes, a row for each such place: their number does not depend on how many documents there are."""
+        to = (rid.view(np.uint64) * _MIX >> np.uint64(20)) % np.uint64(buckets)
+        order = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[order], np.arange(buckets + 1))
+        used = [k for k in range(buckets) if edges[k] < edges[k + 1]]
+        cols = [pa.array([a[order][edges[k] : edges[k + 1]].tobytes() for k in used], pa.binary()) for a in (rid, run)]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *cols], ["bucket", "rids", "runs"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[], []]
+        for b in batches:
+            for k, kind in ((1, np.int64), (2, np.uint32)):
+                parts[k - 1] += [np.frombuffer(x.as_py(), kind) for x in b.column(k)]
+        if not parts[0]:
+            return
+        rid, run = (np.concatenate(p) for p in parts)
+        parts.clear()
         order = np.argsort(rid, kind="stable")
         rid, run = rid[order], run[order]
-        firsts = np.flatnonzero(np.concatenate(([True], rid[1:] != rid[:-1]))) if len(rid) else np.zeros(0, int)
+        firsts = np.flatnonzero(np.concatenate(([True], rid[1:] != rid[:-1])))
         ends = np.append(firsts[1:], len(rid))
         for lo in range(0, len(firsts), 10_000):
             part = range(lo, min(lo + 10_000, len(firsts)))
             yield pa.RecordBatch.from_arrays([pa.array(rid[firsts[part.start : part.stop]], pa.int64()), pa.array([run[firsts[i] : ends[i]].tobytes() for i in part], pa.binary())], ["rid", "runs"])
 
     packed = docs.select("rid", "text").mapInArrow(send, "bucket int, keys binary, rids binary, runs binary")
-    found = packed.repartition(buckets, "bucket").mapInArrow(repeated, "rid long, runs binary")
-    return found.groupBy("rid").agg(F.array_join(F.collect_list(F.hex("runs")), "").alias("runs")).select("rid", F.unhex("runs").alias("runs"))
+    found = packed.repartition(buckets, "bucket").mapInArrow(repeated, "bucket int, rids binary, runs binary")
+    return found.repartition(buckets, "bucket").mapInArrow(gathered, "rid long, runs binary")
 
 
 def segments(docs: DataFrame, found: DataFrame, reader: Reader) -> DataFrame:
