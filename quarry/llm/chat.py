@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.session import cut
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 _TAIL = r"(\||/?s>|/?INST\]|</?SYS>>)"
 #: Tokens of a text as the budget counts them (runs of letters or digits, single other characters), and of a turn's markers.
@@ -75,6 +77,7 @@ def windows(conversations: DataFrame, budget: int = 2048, history: int = 256) ->
     placed = placed.withColumn("first", F.when(is_system, 0).otherwise(F.col("first"))).withColumn("bin", F.when(is_system, 0).otherwise(F.floor(F.col("first") / F.col("stride"))))
     crosses = ~is_system & (F.floor((F.col("first") + F.col("tokens") - 1) / F.col("stride")) > F.col("bin"))
     placed = placed.withColumn("window", 2 * F.col("bin") + crosses.cast("long")).withColumn("is_system", is_system)
+    placed = cut(placed)  # read five times below
     # where each window's span begins; the first window holds the system turn itself
     spans = placed.groupBy("conv_id", "window").agg(
         F.min(F.when(~F.col("is_system"), F.col("first"))).alias("begins"), F.max(F.col("is_system")).alias("has_system"), F.min("bin").alias("bin"), F.min("stride").alias("stride"), F.first("system_turn").alias("system_turn")
