@@ -49,7 +49,7 @@ def _lines(page: str) -> list[tuple[str, bool]]:
     """(text, inside an article) for each line; cut-out parts and the edges of articles are runs of empty lines."""
     lines: list[tuple[str, bool]] = []
     text: list[str] = []
-    article = 0
+    opened = {"article": 0, "main": 0}
     skip, depth = "", 0  # the element being cut out, and how many of its name are open
     gap = [("", False)] * WINDOW
 
@@ -58,7 +58,7 @@ def _lines(page: str) -> list[tuple[str, bool]]:
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                lines.append((line, article > 0))
+                lines.append((line, any(opened.values())))
 
     at, n = 0, len(page)
     while at < n:
@@ -95,11 +95,11 @@ def _lines(page: str) -> list[tuple[str, bool]]:
             text.append(" ")
         if close:
             if name in ("article", "main"):
-                article = max(0, article - 1)
+                opened[name] = max(0, opened[name] - 1)
                 lines.extend(gap)
             continue
-        inside = article > 0
-        furniture = name in CUT and not (name == "header" and inside) or name not in KEEP_NAMES and (_named(attrs) or _HIDDEN.search(attrs) is not None) or name == "article" and inside or name in ("article",) and _named(attrs)
+        inside = any(opened.values())
+        furniture = name in CUT and not (name == "header" and inside) or name not in KEEP_NAMES and (_named(attrs) or _HIDDEN.search(attrs) is not None) or name == "article" and opened["article"] > 0 or name in ("article",) and _named(attrs)
         if furniture and name not in VOID:
             flush()
             lines.extend(gap)
@@ -107,7 +107,7 @@ def _lines(page: str) -> list[tuple[str, bool]]:
         elif name in ("article", "main"):
             flush()
             lines.extend(gap)
-            article += 1
+            opened[name] += 1
     flush()
     return lines
 

@@ -335,6 +335,12 @@ def test_html_cases(spark):
     assert html_main.extract(df.limit(0)).count() == 0
 
 
+def test_html_articles_in_main():
+    assert html_main.main_text("<main><article><h1>T</h1><p>One</p></article></main>") == "T\n\nOne"
+    assert html_main.main_text("<main><h1>T</h1><article><p>One</p></article><article><p>Two</p></article></main><p>out</p>") == "T\n\nOne\n\nTwo"
+    assert html_main.main_text("<main><article><p>One</p><article><p>A reader's comment</p></article><p>Two</p></article></main>") == "One\n\nTwo"
+
+
 def test_html_on_the_pages(spark):
     from quarry.functions.htmldoc import body
 
