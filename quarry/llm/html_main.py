@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,13 +45,181 @@ NAMES = frozenset(
 )
 KEEP_NAMES = frozenset("html body main article".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS = frozenset("td th caption".split())
+ROWS = frozenset("tbody td tfoot th thead tr caption".split())
+LISTS = frozenset("dl menu ol table ul".split()) | CELLS
+#: What a start tag ends: the nearest open element of the first set, searched no further than the second.
+IMPLIED = {
+    "li": (frozenset(["li"]), LISTS),
+    "dt": (frozenset(["dt", "dd"]), LISTS),
+    "dd": (frozenset(["dt", "dd"]), LISTS),
+    "tr": (frozenset(["tr", "caption"]), frozenset(["table"])),
+    "td": (frozenset(["td", "th", "caption"]), frozenset(["table", "tr"])),
+    "th": (frozenset(["td", "th", "caption"]), frozenset(["table", "tr"])),
+    "tbody": (frozenset("tbody tfoot thead caption".split()), frozenset(["table"])),
+    "tfoot": (frozenset("tbody tfoot thead caption".split()), frozenset(["table"])),
+    "thead": (frozenset("tbody tfoot thead caption".split()), frozenset(["table"])),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])),
+    "optgroup": (frozenset(["optgroup", "option"]), frozenset(["select", "datalist"])),
+    "select": (frozenset(["select"]), CELLS),
+    "button": (frozenset(["button"]), CELLS),
+}
+IN_HEAD = frozenset("title meta link base style script noscript template bgsound basefont".split())
+
+
+class _Tree:
+    """The elements of a page that matter, each with its parent, and what is met in order: text, a line's end, an element opened or closed."""
+
+    def __init__(self, page: str) -> None:
+        self.names, self.parents, self.cuts, self.closed = ["#page"], [-1], [""], [True]
+        self.events: list[tuple[str, str | int]] = []
+        self.page, self.at = page, 0
+        self.marks: list[tuple[int, int, str]] | None = None
+        self.stack = [0]
+        self.open: dict[str, int] = {}
+        self._read(page)
+        while len(self.stack) > 1:
+            self._pop(False)
+
+    def _push(self, name: str, cut: str) -> None:
+        k = len(self.names)
+        self.names.append(name)
+        self.parents.append(self.stack[-1])
+        self.cuts.append(cut)
+        self.closed.append(False)
+        self.stack.append(k)
+        self.open[name] = self.open.get(name, 0) + 1
+        self.events.append(("open", k))
+
+    def _pop(self, closed: bool) -> None:
+        k = self.stack.pop()
+        self.closed[k] = closed
+        self.open[self.names[k]] -= 1
+        self.events.append(("close", k))
+
+    def _end(self, names: frozenset[str], stop: frozenset[str], own: bool = False) -> None:
+        """Ends the nearest open element of ``names`` with all inside it, unless one of ``stop`` is nearer. ``own``: by its own end tag."""
+        if not any(self.open.get(x) for x in names):
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            name = self.names[self.stack[i]]
+            if name in names:
+                while len(self.stack) > i:
+                    self._pop(own and len(self.stack) == i + 1)
+                return
+            if name in stop or own and name in ("article", "main") and not names & {"article", "main"} and self._stray(name):
+                return
+
+    def _start(self, name: str, attrs: str) -> None:
+        if self.open.get("head") and name not in IN_HEAD:
+            self._end(frozenset(["head"]), frozenset())
+        if name in BLOCK:
+            self.events.append(("line", 0))
+        elif name in SPACE:
+            self.events.append(("text", " "))
+        if name in BLOCK and name not in IMPLIED or name in ("li", "dt", "dd"):
+            self._end(frozenset(["p"]), CELLS | {"table", "button", "select", "datalist"})
+        if name in HEADINGS and self.names[self.stack[-1]] in HEADINGS:
+            self._pop(False)
+        if name in IMPLIED:
+            self._end(*IMPLIED[name])
+        if name in VOID or name in ("html", "body", "form", "head") and self.open.get(name) or name == "head" and len(self.stack) > 2 or name in ROWS and not self.open.get("table"):
+            return
+        inside = self.open.get("article") or self.open.get("main")
+        cut = ""
+        if name == "article" and self.open.get("article"):
+            cut = "nested"
+        elif name in CUT and not (name == "header" and inside):
+            cut = "tag"
+        elif name not in KEEP_NAMES and _HIDDEN.search(attrs):
+            cut = "hidden"
+        elif name not in KEEP_NAMES - {"article"} and _named(attrs):
+            cut = "named"
+        if cut or name in BLOCK or name in CELLS or name in KEEP_NAMES or self.open.get(name):  # of inline elements only those that are cut, and their like inside them
+            self._push(name, cut)
+
+    def _close(self, name: str) -> None:
+        if name in BLOCK:
+            self.events.append(("line", 0))
+        if name in HEADINGS:
+            self._end(HEADINGS, CELLS | {"table"}, True)
+        elif name in ("body", "html"):
+            self.events.append(("line", 0))
+            while self.names[self.stack[-1]] not in ("#page", "html", "body"):
+                self._pop(False)
+        elif name in ("article", "main", "table"):
+            self._end(frozenset([name]), frozenset(), True)
+        elif name in ROWS:
+            self._end(frozenset([name]), frozenset(["table"]), True)
+        elif name in BLOCK or name in CUT:
+            self._end(frozenset([name]), LISTS - {name} if name in ("li", "dt", "dd") else CELLS | {"table"} - {name}, True)
+        else:
+            self._end(frozenset([name]), BLOCK | CELLS, True)
+
+    def _read(self, page: str) -> None:
+        at, n = 0, len(page)
+        while at < n:
+            m = _TOKEN.match(page, at)
+            at = self.at = m.end()
+            s = m.group()
+            if s[0] != "<" or s == "<":
+                if self.open.get("head") and not s.isspace():
+                    self._end(frozenset(["head"]), frozenset())
+                self.events.append(("text", s))
+                continue
+            if s.startswith("<![CDATA["):
+                continue
+            close, name, attrs = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
+            if name is None:  # a comment or declaration
+                continue
+            name = name.lower()
+            if name in RAW and not close and not attrs.rstrip().endswith("/"):
+                end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+                at = n if end is None else end.start()
+            elif close:
+                self._close(name)
+            elif name not in RAW:
+                self._start(name, attrs)
+
+    def _stray(self, name: str) -> bool:
+        """Whether the open article or main ``name`` still has its own end tag ahead, so that an end tag from outside it is a stray one."""
+        if self.marks is None:
+            self.marks = [(m.start(), -1 if m[1] else 1, m[2].lower()) for m in re.finditer(r"<(/?)(article|main)(?=[\s/>])", self.page, re.I)]
+        depth = 1
+        for _, step, _ in (x for x in self.marks[bisect_left(self.marks, (self.at,)) :] if x[2] == name):
+            depth += step
+            if depth == 0:
+                return True
+        return False
+
+    def kept(self) -> tuple[list[bool], set[int]]:
+        """Whether each element stays, apart from what is around it, and the articles that end the cut elements around them."""
+        kept = [not c for c in self.cuts]
+        cut_by, article = [0] * len(kept), [0] * len(kept)  # the nearest cut element and article, itself included
+        for k in range(1, len(kept)):
+            up = self.parents[k]
+            if self.cuts[k] == "nested" and not (article[up] and self.closed[article[up]]):
+                kept[k] = True  # an article that is not closed does not make the next one a comment
+            cut_by[k], article[k] = cut_by[up] if kept[k] else k, k if self.names[k] == "article" else article[up]
+        marked = [k for k, x in enumerate(self.names) if x in ("article", "main")]
+        only = all(cut_by[k] for k in marked)
+        lifted = set()
+        for k in marked:
+            c = cut_by[k]
+            if c and c != k and self.names[c] != "aside" and (not self.closed[c] and self.cuts[c] in ("tag", "named") or only and (self.cuts[c] == "named" or self.names[c] in ("form", "header"))):
+                lifted.add(k)
+        return kept, lifted
+
 
 def _lines(page: str) -> list[tuple[str, bool]]:
     """(text, inside an article) for each line; cut-out parts and the edges of articles are runs of empty lines."""
+    tree = _Tree(page)
+    kept, lifted = tree.kept()
     lines: list[tuple[str, bool]] = []
     text: list[str] = []
-    opened = {"article": 0, "main": 0}
-    skip, depth = "", 0  # the element being cut out, and how many of its name are open
+    inside: set[int] = set()
+    skip = 0  # the element being cut out
     gap = [("", False)] * WINDOW
 
     def flush() -> None:
@@ -58,56 +227,31 @@ def _lines(page: str) -> list[tuple[str, bool]]:
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                lines.append((line, any(opened.values())))
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        s = m.group()
-        if s[0] != "<" or s == "<":
-            if not skip:
-                text.append(s)
-            continue
-        if s.startswith("<![CDATA["):
-            continue
-        close, name, attrs = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
-        if name is None:  # a comment or declaration
-            continue
-        name = name.lower()
-        if name in RAW and not close and not attrs.rstrip().endswith("/"):
-            end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = n if end is None else end.start()
-            continue
-        if name in ("article", "main") and skip in CUT | {"div", "section", "ul"} and not close and depth == 1 and not _named(attrs) and skip not in ("aside",):
-            skip = ""  # an unclosed notice does not swallow the article
-        if skip:
-            if name == skip:
-                depth += -1 if close else 1
-                if depth == 0:
-                    skip = ""
-            elif close and name in ("body", "html"):
-                skip = ""
+                lines.append((line, bool(inside)))
+
+    for what, x in tree.events:
+        if what == "close" and x == skip:
+            skip = 0
+        elif skip and x not in lifted:
             continue
-        if name in BLOCK:
+        elif what == "text":
+            text.append(x)
+        elif what == "line":
             flush()
-        elif name in SPACE:
-            text.append(" ")
-        if close:
-            if name in ("article", "main"):
-                opened[name] = max(0, opened[name] - 1)
+        elif what == "close":
+            if x in inside:
+                flush()
+                inside.discard(x)
                 lines.extend(gap)
-            continue
-        inside = any(opened.values())
-        furniture = name in CUT and not (name == "header" and inside) or name not in KEEP_NAMES and (_named(attrs) or _HIDDEN.search(attrs) is not None) or name == "article" and opened["article"] > 0 or name in ("article",) and _named(attrs)
-        if furniture and name not in VOID:
+        elif not kept[x]:
             flush()
             lines.extend(gap)
-            skip, depth = name, 1
-        elif name in ("article", "main"):
+            skip = x
+        elif tree.names[x] in ("article", "main"):
+            skip = 0
             flush()
             lines.extend(gap)
-            opened[name] += 1
+            inside.add(x)
     flush()
     return lines
 

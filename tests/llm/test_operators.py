@@ -341,6 +341,23 @@ def test_html_articles_in_main():
     assert html_main.main_text("<main><article><p>One</p><article><p>A reader's comment</p></article><p>Two</p></article></main>") == "One\n\nTwo"
 
 
+def test_html_unclosed_furniture():
+    for page, want in (
+        ("<article><p>One</p><p class='ad'>Buy<p>Two</p><p>Three</p></article>", "One|Two|Three"),
+        ("<article><ul><li>One<li class='share'>Share<li>Two</ul><p>Three</p></article>", "One|Two|Three"),
+        ("<article><dl><dt>One<dd class='ad'>Buy<dt>Two<dd>Three</dl></article>", "One|Two|Three"),
+        ("<article><table><tr><td>One<td class='ad'>Buy<td>Two<tr class='ad'><td>Buy<tr><td>Three</table></article>", "One|Two|Three"),
+        ("<main><section><p>One</p><div class='ad'>Buy</section><p>Two</p></main>", "One|Two"),
+        ("<main><p>One <select><option>A<option class='ad'>B</select></p><p>Two</p></main>", "One|Two"),
+        ("<main><p>One <span class='ad'>Buy <span>now</span> or never</span> and two</p></main>", "One|and two"),
+        ("<main><div class='ad'>Buy<article><p>One</p></article><p>Two</p></main>", "One|Two"),
+        ("<article><p>One</p><article><p>Two</p></body>", "One|Two"),
+        ("<div><article><p>One</p></div><p>Two</p></article></div>", "One|Two"),
+        ("<html><head><title>T</title><body><p>One</p>", "One"),
+    ):
+        assert html_main.main_text(page).split("\n\n") == want.split("|"), page
+
+
 def test_html_on_the_pages(spark):
     from quarry.functions.htmldoc import body
 
