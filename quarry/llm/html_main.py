@@ -3,8 +3,9 @@
 Markup is stripped to lines, one for each block element. Menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments, scripts and styles leave an empty stretch of lines behind. The lengths of the lines are summed over a sliding window; a
 surge is where the sum rises from nothing, a dive is where it falls back to nothing, and the text between a surge
-and its dive is a candidate. Candidates whose peak is small against the page's highest are furniture; where the page marks
-an article or main element, candidates inside it stand for the page.
+and its dive is a candidate. Containers whose peak is small against the page's highest are furniture; what is cut out of a container
+does not divide it. Where the page marks an article or main element, candidates inside it stand for the page, unless the article
+is small against the text outside.
 
 Defined results: null and empty html give empty text; unclosed elements end where their container ends; character references are
 decoded once; white space inside a block becomes one space; blocks are joined by a blank line; repeated rows are treated alike; pages
@@ -16,7 +17,8 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 #: Lines that a sliding window covers; as many empty lines stand for what was cut out.
 WINDOW = 3
-#: Peak of a candidate, as a share of the page's highest, that furniture stays below (pages without an article element).
+#: Peak of a container's text, as a share of the page's highest, that furniture stays below; likewise an article beside the page's text.
 FURNITURE = 0.3
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
@@ -45,6 +47,8 @@ NAMES = frozenset(
 )
 KEEP_NAMES = frozenset("html body main article".split())
 
+#: Elements whose text is judged together.
+CONTAINERS = frozenset("article center div main section td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CELLS = frozenset("td th caption".split())
 ROWS = frozenset("tbody td tfoot th thead tr caption".split())
@@ -79,6 +83,7 @@ class _Tree:
         self.stack = [0]
         self.open: dict[str, int] = {}
         self._read(page)
+        self.events.append(("line", 0))
         while len(self.stack) > 1:
             self._pop(False)
 
@@ -212,26 +217,45 @@ class _Tree:
         return kept, lifted
 
 
-def _lines(page: str) -> list[tuple[str, bool]]:
-    """(text, inside an article) for each line; cut-out parts and the edges of articles are runs of empty lines."""
-    tree = _Tree(page)
+class _Line(NamedTuple):
+    text: str
+    #: 0 outside, 1 inside an article, 2 inside main.
+    inside: int = 0
+    #: The nearest container, and the element that a stretch of such lines lies in: the same, or the one around a container that is a mere paragraph.
+    container: int = 0
+    parent: int = 0
+
+
+_GAP = [_Line("")] * WINDOW
+
+
+def _lines(tree: _Tree) -> tuple[list[_Line], list[int]]:
+    """The lines, and the container around each container; cut-out parts and the edges of articles are runs of empty lines."""
     kept, lifted = tree.kept()
-    lines: list[tuple[str, bool]] = []
+    n = len(kept)
+    container, around, leaf = [0] * n, [0] * n, [True] * n
+    for k in range(1, n):
+        up = tree.parents[k]
+        container[k], around[k] = k if tree.names[k] in CONTAINERS else container[up], container[up]
+        if kept[k] and tree.names[k] in BLOCK | CELLS:
+            leaf[up] = False
+    lines: list[_Line] = []
     text: list[str] = []
     inside: set[int] = set()
-    skip = 0  # the element being cut out
-    gap = [("", False)] * WINDOW
+    mains = 0
+    here, skip = 0, 0  # the innermost element, and the one that is being cut out
 
     def flush() -> None:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                lines.append((line, bool(inside)))
+                c = container[here]
+                lines.append(_Line(line, 2 if mains else int(bool(inside)), c, around[c] if leaf[c] else c))
 
     for what, x in tree.events:
         if what == "close" and x == skip:
-            skip = 0
+            here, skip = tree.parents[x], 0
         elif skip and x not in lifted:
             continue
         elif what == "text":
@@ -242,29 +266,34 @@ def _lines(page: str) -> list[tuple[str, bool]]:
             if x in inside:
                 flush()
                 inside.discard(x)
-                lines.extend(gap)
+                mains -= tree.names[x] == "main"
+                lines.extend(_GAP)
+            here = tree.parents[x]
         elif not kept[x]:
             flush()
-            lines.extend(gap)
+            lines.extend(_GAP)
             skip = x
-        elif tree.names[x] in ("article", "main"):
-            skip = 0
-            flush()
-            lines.extend(gap)
-            inside.add(x)
+        else:
+            if tree.names[x] in ("article", "main"):
+                skip = 0
+                flush()
+                lines.extend(_GAP)
+                inside.add(x)
+                mains += tree.names[x] == "main"
+            here = x
     flush()
-    return lines
+    return lines, around
 
 
 def _named(attrs: str) -> bool:
     return bool(attrs) and any(not NAMES.isdisjoint(_WORDS.findall(v.lower())) for v in _NAME.findall(attrs))
 
 
-def main_text(page: str | None) -> str:
-    lines = _lines(page or "")
-    sizes = [len(x) for x, _ in lines]
+def _runs(lines: list[_Line]) -> list[tuple[list[_Line], int]]:
+    """(lines, peak) from each surge to its dive."""
+    sizes = [len(x.text) for x in lines]
     n = len(sizes)
-    runs: list[tuple[int, int, int]] = []  # surge, dive, peak
+    runs: list[tuple[list[_Line], int]] = []
     surge, peak, window = -1, 0, 0
     for i in range(n + WINDOW):  # the sum over lines i - WINDOW + 1 ... i
         window += sizes[i] if i < n else 0
@@ -273,16 +302,59 @@ def main_text(page: str | None) -> str:
             surge, peak = i, 0
         peak = max(peak, window)
         if not window and surge >= 0:
-            runs.append((surge, i, peak))
+            runs.append(([x for x in lines[surge:i] if x.text], peak))
             surge = -1
     if surge >= 0:
-        runs.append((surge, n, peak))
-    if any(lines[a][1] for a, _, _ in runs):
-        chosen = [r for r in runs if lines[r[0]][1]]
-    else:
-        top = max((p for _, _, p in runs), default=0)
-        chosen = [r for r in runs if r[2] >= FURNITURE * top]
-    return "\n\n".join(lines[i][0] for a, b, _ in chosen for i in range(a, min(b, n)) if lines[i][0])
+        runs.append(([x for x in lines[surge:] if x.text], peak))
+    return runs
+
+
+def _total(lines: Iterable[_Line], by: str) -> dict[int, int]:
+    total: dict[int, int] = {}
+    for x in lines:
+        total[getattr(x, by)] = total.get(getattr(x, by), 0) + len(x.text)
+    return total
+
+
+def _above(k: int, around: list[int]) -> Iterator[int]:
+    while k:
+        k = around[k]
+        yield k
+
+
+def _by_container(runs: list[tuple[list[_Line], int]], around: list[int]) -> list[list[_Line]]:
+    """The runs of high peak, and with each the rest of its container: what the same element holds, what lies deeper in it, and what stands
+    bare in an element around the highest run."""
+    top = max(p for _, p in runs)
+    high = [(max((t := _total(run, "parent")), key=t.get), p) for run, p in runs if p >= FURNITURE * top]
+    homes = {h for h, _ in high}
+    outer = set(_above(next(h for h, p in high if p == top), around))
+    within = [False] * len(around)  # of a home, apart from the page itself
+    for k in range(1, len(around)):
+        within[k] = k in homes or within[around[k]]
+    chosen = []
+    for run, p in runs:
+        same = any(x.parent in homes or within[x.container] for x in run)
+        bare = all(x.container == x.parent and x.container == run[0].container for x in run) and run[0].container in outer
+        if p >= FURNITURE * top or same or bare:
+            chosen.append(run)
+    return chosen
+
+
+def main_text(page: str | None) -> str:
+    lines, around = _lines(_Tree(page or ""))
+    runs = _runs(lines)
+    marked = [(run, p) for run, p in runs if run[0].inside]
+    others = [(run, p) for run, p in runs if not run[0].inside]
+    peak = max((p for _, p in others), default=0)
+    size = max(_total((x for run, _ in others for x in run), "parent").values(), default=0)
+    if marked and (
+        any(run[0].inside == 2 for run, _ in marked) or max(p for _, p in marked) >= FURNITURE * peak and sum(len(x.text) for run, _ in marked for x in run) >= FURNITURE * size
+    ):
+        chosen = [run for run, _ in marked]
+    else:  # no article, or a card beside the text
+        chosen = _by_container(runs, around) if runs else []
+    return "\n\n".join(x.text for run in chosen for x in run)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -358,6 +358,21 @@ def test_html_unclosed_furniture():
         assert html_main.main_text(page).split("\n\n") == want.split("|"), page
 
 
+def test_html_judges_containers():
+    long, ad = "A long paragraph of text. " * 20, "<div class='ad'>Buy</div>"
+    body = long.strip()
+    for page, want in (
+        (f"<h1>Title</h1>{ad}<p>{long}</p>{ad}<p>The end.</p>", ["Title", body, "The end."]),
+        (f"<div><h1>Title</h1>{ad}<div><p>{long}</p>{ad}<ul><li>A</li></ul><form>x</form><div>B<p>C</p></div></div></div>", ["Title", body, "A", "B", "C"]),
+        (f"<div><div>{long}</div>{ad}<div>Short</div></div>", [body, "Short"]),
+        (f"<div><p>Links</p><p>More</p></div>{ad}<div><p>{long}</p>{ad}<p>The end.</p></div>{ad}<div><p>Imprint</p></div>", [body, "The end."]),
+        (f"<div><div>By me</div><div><p>{long}</p>{ad}<p>The end.</p></div></div>", ["By me", body, "The end."]),
+        (f"<div><p>{long}</p>{ad}<p>The end.</p></div><article><p>A card</p></article>", [body, "The end."]),
+        (f"<div><p>{'More of it. ' * 3}</p></div><article><p>{long}</p>{ad}<p>The end.</p></article>", [body, "The end."]),
+    ):
+        assert html_main.main_text(page).split("\n\n") == want, page
+
+
 def test_html_on_the_pages(spark):
     from quarry.functions.htmldoc import body
 
