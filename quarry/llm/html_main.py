@@ -1,7 +1,7 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element. Menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments, scripts and styles leave an empty stretch of lines behind. The lengths of the lines are summed over a sliding window; a
+comments, scripts and styles leave an empty stretch of lines behind; an element cut for its name stays where it holds more than half of the page's or article's text. The lengths of the lines are summed over a sliding window; a
 surge is where the sum rises from nothing, a dive is where it falls back to nothing, and the text between a surge
 and its dive is a candidate. Containers whose peak is small against the page's highest are furniture; what is cut out of a container
 does not divide it. Where the page marks an article or main element, candidates inside it stand for the page, unless the article
@@ -30,8 +30,7 @@ WINDOW = 3
 FURNITURE = 0.3
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
-_NAME = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*["']?true)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[a-z]+")
 
 RAW = frozenset("script style textarea title noscript template iframe svg math object video audio canvas xmp noembed noframes".split())
@@ -41,10 +40,14 @@ BLOCK = frozenset(
 )
 SPACE = frozenset("br td th img input wbr".split()) - {"wbr"}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Words in class, id or role that name furniture.
+#: Whole tokens of class, id or role that name furniture.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent contentinfo complementary disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice overlay pagination paywall popup promo promotion recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: What such a token may be joined with (cookie-bar, related-posts); with any other word it names something else (related-work, has-sidebar).
+QUALIFIERS = frozenset(
+    "area article articles bar block bottom box btn button buttons container count form global group icon icons inner item items left link links list media module outer page panel post posts primary right row secondary site sticky stories toggle top wrap wrapper".split()
+)
 KEEP_NAMES = frozenset("html body main article".split())
 
 #: Elements whose text is judged together.
@@ -53,6 +56,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CELLS = frozenset("td th caption".split())
 ROWS = frozenset("tbody td tfoot th thead tr caption".split())
 LISTS = frozenset("dl menu ol table ul".split()) | CELLS
+P, P_STOP = frozenset(["p"]), CELLS | {"table", "button", "select", "datalist"}
 #: What a start tag ends: the nearest open element of the first set, searched no further than the second.
 IMPLIED = {
     "li": (frozenset(["li"]), LISTS),
@@ -124,7 +128,7 @@ class _Tree:
         elif name in SPACE:
             self.events.append(("text", " "))
         if name in BLOCK and name not in IMPLIED or name in ("li", "dt", "dd"):
-            self._end(frozenset(["p"]), CELLS | {"table", "button", "select", "datalist"})
+            self._end(P, P_STOP)
         if name in HEADINGS and self.names[self.stack[-1]] in HEADINGS:
             self._pop(False)
         if name in IMPLIED:
@@ -137,10 +141,8 @@ class _Tree:
             cut = "nested"
         elif name in CUT and not (name == "header" and inside):
             cut = "tag"
-        elif name not in KEEP_NAMES and _HIDDEN.search(attrs):
-            cut = "hidden"
-        elif name not in KEEP_NAMES - {"article"} and _named(attrs):
-            cut = "named"
+        elif attrs and name not in KEEP_NAMES - {"article"}:
+            cut = _attributes(name, attrs)
         if cut or name in BLOCK or name in CELLS or name in KEEP_NAMES or self.open.get(name):  # of inline elements only those that are cut, and their like inside them
             self._push(name, cut)
 
@@ -198,14 +200,42 @@ class _Tree:
                 return True
         return False
 
+    def _sizes(self) -> tuple[list[int], list[int]]:
+        """Length of the text in each element, without what is surely furniture inside it; and without all articles inside it."""
+        n = len(self.names)
+        size, alone = [0] * n, [0] * n
+        here = 0
+        for what, x in self.events:
+            if what == "text":
+                size[here] += len(x.strip())
+            elif what == "open":
+                here = x
+            elif what == "close":
+                here = self.parents[x]
+        alone = size.copy()
+        for k in range(n - 1, 0, -1):
+            if self.cuts[k] not in ("hidden", "nested") and not (self.cuts[k] == "tag" and self.closed[k] and self.names[k] != "form"):
+                size[self.parents[k]] += size[k]
+                if self.names[k] != "article":
+                    alone[self.parents[k]] += alone[k]
+        return size, alone
+
     def kept(self) -> tuple[list[bool], set[int]]:
         """Whether each element stays, apart from what is around it, and the articles that end the cut elements around them."""
+        n = len(self.names)
         kept = [not c for c in self.cuts]
-        cut_by, article = [0] * len(kept), [0] * len(kept)  # the nearest cut element and article, itself included
-        for k in range(1, len(kept)):
+        size, alone = self._sizes()
+        holds = [x in ("article", "main") for x in self.names]  # an article or main, or one inside
+        for k in range(n - 1, 0, -1):
+            holds[self.parents[k]] |= holds[k] and self.cuts[k] not in ("hidden", "nested")
+        cut_by, article, scope = [0] * n, [0] * n, [0] * n  # the nearest cut element and article, itself included; the nearest article or main around it
+        for k in range(1, n):
             up = self.parents[k]
-            if self.cuts[k] == "nested" and not (article[up] and self.closed[article[up]]):
-                kept[k] = True  # an article that is not closed does not make the next one a comment
+            scope[k] = up if self.names[up] in ("article", "main") else scope[up]
+            if self.cuts[k] == "nested":  # an article that is not closed, or only holds articles, does not make the next one a comment
+                kept[k] = not article[up] or not self.closed[article[up]] or not alone[article[up]]
+            elif self.cuts[k] == "named" and self.names[k] in BLOCK | CELLS or self.names[k] == "form" and self.cuts[k] == "tag" or self.cuts[k] == "tag" and not self.closed[k] and self.names[k] not in ("footer", "head"):
+                kept[k] = 2 * size[k] > size[scope[k]] and (scope[k] > 0 and (self.closed[k] or not holds[k]) or self.closed[k] and holds[k] or not holds[0])  # never what holds most of the text, unless an article ends it
             cut_by[k], article[k] = cut_by[up] if kept[k] else k, k if self.names[k] == "article" else article[up]
         marked = [k for k, x in enumerate(self.names) if x in ("article", "main")]
         only = all(cut_by[k] for k in marked)
@@ -285,8 +315,22 @@ def _lines(tree: _Tree) -> tuple[list[_Line], list[int]]:
     return lines, around
 
 
-def _named(attrs: str) -> bool:
-    return bool(attrs) and any(not NAMES.isdisjoint(_WORDS.findall(v.lower())) for v in _NAME.findall(attrs))
+def _furniture(token: str) -> bool:
+    words = set(_WORDS.findall(token))
+    return token in NAMES or not words.isdisjoint(NAMES) and words <= NAMES | QUALIFIERS
+
+
+def _attributes(name: str, attrs: str) -> str:
+    """Why the attributes of an element have it cut: hidden, named or not at all. Ids of headings and inline elements are anchors."""
+    anchor = name in HEADINGS or name not in BLOCK | CELLS | CUT
+    named = False
+    for key, value in _ATTRIBUTE.findall(attrs):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if name != "article" and (key == "hidden" or key == "aria-hidden" and value == "true"):
+            return "hidden"
+        if key in ("class", "role") or key == "id" and not anchor:
+            named = named or any(map(_furniture, value.split()))
+    return "named" if named else ""
 
 
 def _runs(lines: list[_Line]) -> list[tuple[list[_Line], int]]:

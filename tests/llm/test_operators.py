@@ -373,6 +373,24 @@ def test_html_judges_containers():
         assert html_main.main_text(page).split("\n\n") == want, page
 
 
+def test_html_names_are_whole_tokens():
+    text = "A paragraph of text that is long enough to be most of it."
+    for page, want in (
+        (f"<article><h2 id='related-work'>One</h2><h2 id='search'>Two</h2><p><a id='share'>Three</a> {text}</p></article>", ["One", "Two", f"Three {text}"]),
+        (f"<article><p>{text}</p><section id='share-prices'><p>One</p></section></article>", [text, "One"]),
+        (f"<div class='content has-sidebar'><p>{text}</p></div>", [text]),
+        (f"<div class='no-sidebar'><p>{text}</p><p class='search-results'>One</p></div>", [text, "One"]),
+        (f"<article class='post has-comments'><p>{text}</p></article>", [text]),
+        (f"<article><p>One</p><div class='widget'><p>{text}</p></div></article>", ["One", text]),
+        (f"<div class='widget'><article><p>{text}</p></article></div><p>out</p>", [text]),
+        (f"<form><p>{text}</p></form>", [text]),
+        (f"<article><article><p>{text}</p></article><article><p>One</p></article></article>", [text, "One"]),
+        (f"<article><p title='the hidden part'>{text}</p><p data-x='an id=ad'>One</p></article>", [text, "One"]),
+        (f"<article><p>{text}</p><div class='left cookie-bar'>Buy</div><ul id='related-posts'><li>Buy</ul><p hidden>Buy</p><p role=search>Buy</p></article>", [text]),
+    ):
+        assert html_main.main_text(page).split("\n\n") == want, page
+
+
 def test_html_on_the_pages(spark):
     from quarry.functions.htmldoc import body
 
