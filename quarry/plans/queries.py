@@ -24,8 +24,7 @@ def _index(spark: SparkSession, d: str, positions: bool = False) -> Index:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages")
-    return p.select(F.col("page_id").alias("doc_id"), "url", htmldoc.title(F.col("html")).alias("title"), htmldoc.body(F.col("html")).alias("text"))
+    return htmldoc.extract(table(spark, d, "pages")).select(F.col("page_id").alias("doc_id"), "url", "title", F.col("body").alias("text"))
 
 
 def _page_index(spark: SparkSession, d: str) -> Index:
@@ -230,7 +229,7 @@ def page_language(spark, d):
 
 
 def page_body(spark, d):
-    return table(spark, d, "pages").select("page_id", htmldoc.body(F.col("html")).alias("body"))
+    return htmldoc.extract(table(spark, d, "pages")).select("page_id", "body")
 
 
 def page_headings(spark, d):
@@ -238,7 +237,7 @@ def page_headings(spark, d):
 
 
 def page_links(spark, d):
-    return table(spark, d, "pages").select("page_id", F.posexplode(htmldoc.links(F.col("html"), F.col("url"))).alias("position", "target")).select("page_id", F.col("position").cast("long").alias("position"), "target")
+    return htmldoc.extract(table(spark, d, "pages")).select("page_id", F.posexplode("links").alias("position", "target")).select("page_id", F.col("position").cast("long").alias("position"), "target")
 
 
 def html_extract_full(spark, d):
@@ -259,8 +258,8 @@ def domains(spark, d):
 
 
 def link_graph(spark, d):
-    p = table(spark, d, "pages")
-    return p.select(urls.normalize_native(F.col("url")).alias("source"), F.explode(htmldoc.links(F.col("html"), F.col("url"))).alias("target")).distinct()
+    p = htmldoc.extract(table(spark, d, "pages")).select("url", F.explode("links").alias("target"))
+    return p.select(urls.normalize_url(F.col("url"), F.lit(None).cast("string"))["url"].alias("source"), "target").distinct()
 
 
 def _site_edges(spark, d):

@@ -145,3 +145,22 @@ def test_streams(spark, tmp_path):
 def test_percentiles(spark):
     df = spark.range(1, 101).select(F.col("id").cast("double").alias("v"))
     assert {r.p: r.value for r in evaluate.percentiles(df, "v").collect()} == {0.5: 50.0, 0.95: 95.0, 0.99: 99.0}
+
+
+def test_page_queries_read_any_html(spark, tmp_path):
+    """Links of every form are resolved, and the body is found wherever the page keeps it."""
+    from quarry.plans.queries import QUERIES
+
+    links = "<nav><a href='a/b.html'>1</a><a href='../x'>2</a><a href='?page=2'>3</a><a href='//h.org/y'>4</a><a href=/z>5</a><a href='mailto:a@b.c'>6</a></nav>"
+    pages = [
+        (1, "https://e.com/d/p", f"<title>T</title><body>{links}<main><p>In main</p></main></body>"),
+        (2, "https://e.com/q", "<body><div role='main'>In role</div><p>out</p></body>"),
+        (3, "https://e.com/r", "<body><p>In body</p></body>"),
+    ]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    want = ["https://e.com/d/a/b.html", "https://e.com/x", "https://e.com/d/p?page=2", "https://h.org/y", "https://e.com/z"]
+    assert [r.target for r in sorted(run("page_links"), key=lambda r: r.position)] == want
+    assert {(r.source, r.target) for r in run("link_graph")} == {("https://e.com/d/p", x) for x in want}
+    assert [r.targets for r in run("document_links")] == [" ".join(sorted(want))]
+    assert {r.page_id: r.body for r in run("page_body")} == {1: "In main", 2: "In role", 3: "In body"}
