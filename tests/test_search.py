@@ -164,3 +164,19 @@ def test_page_queries_read_any_html(spark, tmp_path):
     assert {(r.source, r.target) for r in run("link_graph")} == {("https://e.com/d/p", x) for x in want}
     assert [r.targets for r in run("document_links")] == [" ".join(sorted(want))]
     assert {r.page_id: r.body for r in run("page_body")} == {1: "In main", 2: "In role", 3: "In body"}
+
+
+def test_full_queries_and_judgements_without_ranks(spark, tmp_path):
+    """A document found by a late term alone is ranked, and a relevant document beyond rank 40 counts as the miss that it is."""
+    from quarry.plans.queries import QUERIES
+
+    passage = "alpha bravo charlie delta echo"
+    docs = [(1, "echo"), (2, passage + " filler" * 400)] + [(k, "alpha bravo charlie delta echo".replace(" ", " x ")) for k in range(3, 53)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, passage), (8, "echo"), (9, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = QUERIES["bm25_multi_query_full"](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in run} == {7, 8} and [r.doc_id for r in run if r.query_id == 8 and r.rank == 1] == [1]
+    rows = {r.query_id: r for r in QUERIES["retrieval_metrics_full"](spark, str(tmp_path)).collect()}
+    assert set(rows) == {7, 8} and rows[7].r_at_10 == rows[7].ndcg_at_10 == 0.0 and 0 < rows[7].rr < 1 / 40
+    assert rows[8].rr == 1.0 and rows[8].p_at_10 == 1.0 and rows[8].r_at_10 == pytest.approx(10 / 52, abs=1e-6)
+    assert QUERIES["mrr_full"](spark, str(tmp_path)).first().mrr == pytest.approx((rows[7].rr + 1) / 2, abs=1e-5)
