@@ -89,6 +89,12 @@ def snapshot_json(spark, d):
     return _index(spark, d).to_json().agg(F.count("*").alias("lines"))
 
 
+def snapshot_digest(spark, d):
+    """A digest of each JSON line by its term or document, so that every line is built."""
+    key = lambda c: F.get_json_object("value", f"$.{c}")
+    return _index(spark, d).to_json().select(key("term").alias("term"), key("doc_id").cast("long").alias("doc_id"), F.sha2("value", 256).alias("line_sha256"))
+
+
 def bm25_topk(spark, d):
     i = _index(spark, d)
     return search.page(search.BM25().score(i, QUERY), "bm25", 10).select("doc_id", _r("bm25"), F.array_join("matched_terms", " ").alias("matched"))
@@ -282,6 +288,12 @@ def crawl_bfs(spark, d):
     return crawl.bfs(_site_edges(spark, d), spark.range(1).select(F.lit("p5").alias("url")), 4).select("url", F.col("depth").cast("long").alias("depth"))
 
 
+def crawl_links(spark, d):
+    """The walk over the links of the pages, from the first 20."""
+    seeds = table(spark, d, "pages").where("page_id < 20").select(urls.normalize_url(F.col("url"), F.lit(None).cast("string"))["url"].alias("url"))
+    return crawl.bfs(link_graph(spark, d), seeds.where("url IS NOT NULL"), 4).select("url", F.col("depth").cast("long").alias("depth"))
+
+
 def crawl_stats(spark, d):
     p = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 11 == 0, 404).otherwise(200).alias("status"), F.col("html").alias("body"), htmldoc.title(F.col("html")).alias("title"))
     return store.counters(crawl.gates(p, 3000), "outcome")
@@ -384,11 +396,11 @@ def stream_sessions(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_counts, token_positions, stopword_filter, clean_text, postings, postings_positions, term_df, doc_lengths, index_stats, vocabulary_top, remove_document, snapshot_json,
+        tokenize_counts, token_positions, stopword_filter, clean_text, postings, postings_positions, term_df, doc_lengths, index_stats, vocabulary_top, remove_document, snapshot_json, snapshot_digest,
         bm25_topk, bm25_page2, bm25_count, bm25_multi_query, bm25_multi_query_full, matched_terms, retriever_join, snippet_window, rank_signals, rank_topk, rank_bm25_only, rank_explain, suggestions,
         tfidf_weights, tfidf_cosine, vector_topk, hybrid_topk, content_hash, duplicate_groups, index_outcomes, indexing_counters, assign_doc_ids, upsert_latest, document_links,
         exists_by_hash, point_lookup, scan_first, page_title, page_language, page_body, page_headings, page_links, html_extract_full, url_normalize, url_normalize_exact, domains,
-        link_graph, crawl_bfs, crawl_stats, allowlist, host_guard, robots_gate, robots_exact, same_site, politeness, precision_recall, mrr, ndcg, retrieval_metrics_full, mrr_full, latency_percentiles, rate_limit,
+        link_graph, crawl_bfs, crawl_links, crawl_stats, allowlist, host_guard, robots_gate, robots_exact, same_site, politeness, precision_recall, mrr, ndcg, retrieval_metrics_full, mrr_full, latency_percentiles, rate_limit,
         stream_windows, stream_sessions,
     )
 }

@@ -180,3 +180,18 @@ def test_full_queries_and_judgements_without_ranks(spark, tmp_path):
     assert set(rows) == {7, 8} and rows[7].r_at_10 == rows[7].ndcg_at_10 == 0.0 and 0 < rows[7].rr < 1 / 40
     assert rows[8].rr == 1.0 and rows[8].p_at_10 == 1.0 and rows[8].r_at_10 == pytest.approx(10 / 52, abs=1e-6)
     assert QUERIES["mrr_full"](spark, str(tmp_path)).first().mrr == pytest.approx((rows[7].rr + 1) / 2, abs=1e-5)
+
+
+def test_snapshot_lines_and_crawled_links(spark, tmp_path):
+    import hashlib
+
+    from quarry.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "alpha bravo alpha")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    pages = [(1, "https://e.com/a", "<a href='b'>b</a>"), (30, "https://e.com/b", "<a href=c>c</a>"), (31, "https://e.com/c", ""), (32, "https://e.com/lone", "<a href='a'>a</a>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = QUERIES["snapshot_digest"](spark, str(tmp_path)).collect()
+    assert sorted((r.term or "", r.doc_id or 0) for r in rows) == [("", 1), ("alpha", 0), ("bravo", 0)]
+    line = '{"term":"alpha","postings":[{"doc_id":1,"tf":2}]}'
+    assert [r.line_sha256 for r in rows if r.term == "alpha"] == [hashlib.sha256(line.encode()).hexdigest()]
+    assert {r.url: r.depth for r in QUERIES["crawl_links"](spark, str(tmp_path)).collect()} == {"https://e.com/a": 0, "https://e.com/b": 1, "https://e.com/c": 2}
