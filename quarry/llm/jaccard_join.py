@@ -6,20 +6,23 @@ is over classes.
 1. Cells. Sets within the threshold differ in few shingles, so if the shingles are dealt by hash into more parts than that, some part
    is equal in both. A cell is all classes that agree in one part (and size band); its first class in hash order is its
    pivot. Classes that share no cell with another have no link and take no further part.
-2. Regions. A pivot's region is all classes that share a cell with it. A class that lies between pivots is replicated to each, and
-   every pair within the threshold meets in at least one region.
-3. Inside a region a few of its sets become pivots, each set goes to its nearest (Voronoi), and sets in order of
-   (nearest pivot, distance) form blocks. A pair of blocks is compared only if, for every pivot, their distance intervals
-   come within the threshold of each other (triangle inequality): boundary sets meet those across. Overlaps of a pair of
-   blocks come from one matrix product over the shingles that two sets or more have. A region that exceeds a task's bound is
-   dealt into blocks first, and each pair of blocks is a task.
+2. Neighbourhoods. Each class has a parity sketch, about one bit a shingle: the bits in which two sketches differ are never more than
+   the shingles in which their sets differ, so a pair whose sketches differ too much has no link. Sketches, not sets, travel to the cells'
+   pivots; the pairs that the sketches allow there connect classes to neighbourhoods. Every link lies inside one neighbourhood.
+3. Regions. A set travels to its neighbourhood once. One that fits a task is joined there. A larger one gets pivots of its own: the
+   distances to them are exact, links to pivots are taken at once, each class is at home in its nearest pivot's Voronoi region and is
+   replicated to every region whose pivot is no more than twice the threshold farther (triangle inequality). Regions that
+   are connected already are done; the others are joined the same way again, with other pivots. A region that no longer shrinks is joined in pairs of blocks.
+4. Inside a task a few of its sets become pivots, and sets in order of (nearest pivot, distance) form blocks. A pair of blocks is
+   compared only if, for every pivot, their distance intervals come within the threshold of each other. Overlaps of a pair of
+   blocks come from one matrix product over the shingles that two sets or more have.
 
 Links are reduced to a spanning forest where they are found: a group of n near copies gives n - 1 edges, and pairs already connected are
 not compared. Components come from alternating stars.
 
 Defined results: null texts and texts without words have empty sets, no links, and are their own component; n rows with equal sets are
 linked; repeated rows likewise; a component is named by its least doc_id (null only if it has no other); further columns are
-ignored; an empty table gives an empty result.
+ignored; texts of any length are taken whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ from quarry.llm.components import components
 from quarry.session import cut, join_checked, shuffle_partitions
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Shingles of a task's share of a region; a larger region is split into pairs of blocks.
-REGION = 1 << 21
+#: Shingles that a task joins at a time, sketches that a task compares at a time, pivots of a region that exceeds a task.
+REGION, SKETCHES, CENTRES = 1 << 21, 4096, 8
 #: Sets of a block inside a region, pivots of a region, shingles of a slice of the matrix product.
 ROWS, PIVOTS, SLICE = 256, 8, 1 << 14
 
@@ -85,15 +88,58 @@ def signatures(s: np.ndarray, percent: int, lows: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in hash buckets, at least as many buckets as shingles (a power of two)."""
+    if not len(s):
+        return b""
+    buckets = max(64, 1 << (len(s) - 1).bit_length())
+    at = s * _M2
+    at ^= at >> np.uint64(33)
+    parity = np.bincount((at * _M1 >> np.uint64(20)).astype(np.int64) & (buckets - 1), minlength=buckets) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """The sketches and set sizes of some classes, compared many pairs at a time."""
+
+    def __init__(self, raw: list[bytes], sizes: np.ndarray, percent: int):
+        self.sizes, self.percent = sizes, percent
+        self.width = np.array([len(x) // 8 for x in raw], np.int64)
+        self.row = np.zeros(len(raw), np.int64)
+        self.bits: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            mine = np.flatnonzero(self.width == w)
+            self.row[mine] = np.arange(len(mine))
+            self.bits[w] = np.frombuffer(b"".join(raw[i] for i in mine), np.uint64).reshape(len(mine), w)
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the sketches allow that sets i and j are within the threshold; never false for those that are."""
+        both = (self.sizes[i] + self.sizes[j]) * (100 - self.percent)
+        out = np.abs(self.sizes[i] - self.sizes[j]) * (100 + self.percent) <= both
+        rest = np.flatnonzero(out)
+        kinds = self.width[i[rest]] << 32 | self.width[j[rest]]
+        for kind in np.unique(kinds).tolist():
+            wi, wj = kind >> 32, kind & 0xFFFFFFFF
+            w = min(wi, wj)
+            mine = rest[kinds == kind]
+            for lo in range(0, len(mine), step := max(1, (1 << 20) // max(wi, wj))):
+                at = mine[lo : lo + step]
+                a, b = self.bits[wi][self.row[i[at]]], self.bits[wj][self.row[j[at]]]
+                a, b = (x if x.shape[1] == w else np.bitwise_xor.reduce(x.reshape(len(x), -1, w), axis=1) for x in (a, b))
+                out[at] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) * (100 + self.percent) <= both[at]
+        return out
+
+
 def sets_table(rows: DataFrame, words: int) -> DataFrame:
-    """(doc_id, rid, n, cls): the size of each document's set and its class."""
+    """(doc_id, rid, n, cls, sketch): the size of each document's set, its class and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), words) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64())], ["doc_id", "rid", "n", "cls"])
+            own = [pa.array([f(s) for s in sets], kind) for f, kind in ((len, pa.int64()), (_class, pa.int64()), (sketch, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own], ["doc_id", "rid", "n", "cls", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, rid long, n long, cls long")
+    return rows.mapInArrow(run, "doc_id long, rid long, n long, cls long, sketch binary")
 
 
 def shared_cells(rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -256,24 +302,123 @@ def region_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
     return np.array([find(i) for i in range(m)])
 
 
-def links(rows: DataFrame, table: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): edges between classes whose components are those of all links."""
-    pairs = cut(shared_cells(rows, words, percent))
-    member = pairs.unionAll(pairs.select("pivot", "pivot").distinct())
-    wanted = member.select("cls").distinct()
-    known = table.where("n > 0").groupBy("cls").agg(F.min("rid").alias("rid"), F.max("n").alias("n"))
-    reps = cut(known.join(wanted, "cls", "left_semi"))
+class Forest:
+    """Connected groups of numbers met so far."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = y
+        return x
+
+    def union(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+
+    def edges(self) -> pa.RecordBatch:
+        pairs = [(x, self.find(x)) for x in self.root]
+        pairs = np.array([p for p in pairs if p[0] != p[1]], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def allowed_edges(regions: list[tuple[np.ndarray, np.ndarray | None]], cls: np.ndarray, sketches: Sketches) -> pa.RecordBatch:
+    """Edges that connect what the sketches allow to be linked inside each region: (numbers of its classes, their sides or None)."""
+    forest = Forest()
+    small: dict[int, list[np.ndarray]] = {}
+    for who, side in regions:
+        if len(who) <= 32 and side is None:
+            small.setdefault(len(who), []).append(who)
+            continue
+        left = np.ones(len(who), bool)  # every class is compared once with those not yet reached
+        for seed in range(len(who)):
+            if not left[seed]:
+                continue
+            left[seed], open_ = False, [seed]
+            while open_:
+                x = open_.pop()
+                rest = np.flatnonzero(left if side is None else left & (side != side[x]))
+                if not len(rest):
+                    continue
+                hit = rest[sketches.may_link(np.full(len(rest), who[x]), who[rest])]
+                left[hit] = False
+                open_ += hit.tolist()
+                for y in hit.tolist():
+                    forest.union(int(cls[who[x]]), int(cls[who[y]]))
+    for m, groups in small.items():
+        i, j = np.triu_indices(m, 1)
+        for lo in range(0, len(groups), step := max(1, (1 << 18) // len(i))):
+            who = np.stack(groups[lo : lo + step])
+            a, b = who[:, i].ravel(), who[:, j].ravel()
+            hit = sketches.may_link(a, b)
+            for x, y in zip(cls[a[hit]].tolist(), cls[b[hit]].tolist()):
+                forest.union(x, y)
+    return forest.edges()
+
+
+def neighbourhoods(member: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(cls, region) for every class that the sketches allow a link; linked classes have one region."""
+    blocks = F.ceil(F.count("*") / SKETCHES).cast("int")
+    placed = member.join(member.groupBy("pivot").agg(blocks.alias("blocks")), "pivot").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
+    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pivot", "cls", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(rest: bool) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            pivot, i, j, cls, mine, n = (t.column(k).to_numpy() for k in range(6))
+            starts = np.flatnonzero(np.concatenate(([True], (pivot[1:] != pivot[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+            ends = np.append(starts[1:], len(pivot))
+            held.clear()
+            if not rest:  # the last region may go on
+                last = t.slice(int(starts[-1])).combine_chunks().to_batches()
+                held.extend(last)
+                starts, ends = starts[:-1], ends[:-1]
+            regions = [(np.arange(a, e), None if i[a] == j[a] else mine[a:e] == i[a]) for a, e in zip(starts.tolist(), ends.tolist()) if e - a > 1]
+            if regions:
+                yield allowed_edges(regions, cls, Sketches(t.column(6).to_pylist(), n, percent))
+
+        rows = 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows > 50_000:
+                yield from done(False)
+                rows = sum(x.num_rows for x in held)
+        if held:
+            yield from done(True)
+
+    together = tasks.join(reps.select("cls", "n", "sketch"), "cls").select("pivot", "i", "j", "cls", "mine", "n", "sketch")
+    buckets = shuffle_partitions(member.sparkSession)
+    edges = together.repartition(buckets, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(compare, "a long, b long")
+    return components(edges).select(F.col("node").alias("cls"), F.col("root").alias("region"))
+
+
+def _with_sets(rows: DataFrame, tasks: DataFrame, words: int) -> DataFrame:
+    """``tasks`` (cut; rid first) with ``members``, the set of the text."""
+    names = [c for c in tasks.columns if c != "rid"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], ["cls", "members"])
+            known: dict[int, bytes] = {}  # a class that goes to several tasks is shingled once
+            out = []
+            for c, t in zip(b.column(names.index("cls")).to_pylist(), b.column(len(names))):
+                if c not in known:
+                    known = {c: shingles(t.as_py(), words).tobytes()}
+                out.append(known[c])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.binary())], [*names, "members"])
+
+    joined = join_checked(rows.select("rid", "text"), tasks, ["rid"]).select(*names, "text")
+    return joined.mapInArrow(sets, ", ".join(f"{c} {k}" for c, k in tasks.select(*names).dtypes) + ", members binary")
 
-    content = join_checked(rows.select("rid", "text"), reps.select("rid", "cls"), ["rid"]).select("cls", "text").mapInArrow(sets, "cls long, members binary").dropDuplicates(["cls"])
-    sized = member.join(reps.select("cls", "n"), "cls")
-    blocks = F.ceil(F.sum("n") / REGION).cast("int")
-    split = sized.groupBy("pivot").agg(blocks.alias("blocks"))
-    placed = member.join(split, "pivot").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pivot", "cls", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
+
+def _joined(rows: DataFrame, tasks: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): edges of the links inside each task (region, i, j); where i and j differ, of those between the two blocks."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cls, mine, members = None, [], [], []
@@ -286,19 +431,99 @@ def links(rows: DataFrame, table: DataFrame, words: int, percent: int) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.array(ids[root[edge]])], ["a", "b"])
 
         for b in batches:
-            for pivot, i, j, c, s, x in zip(*(b.column(k).to_pylist() for k in range(6))):
-                if (pivot, i, j) != now:
+            for region, i, j, c, s, x in zip(*(b.column(k).to_pylist() for k in range(6))):
+                if (region, i, j) != now:
                     if len(cls) > 1:
                         yield done()
-                    now, cls, mine, members = (pivot, i, j), [], [], []
-                cls.append(c)
-                mine.append(s)
-                members.append(np.frombuffer(x, np.uint64))
+                    now, cls, mine, members = (region, i, j), [], [], []
+                if not cls or cls[-1] != c:  # equal rows come twice
+                    cls.append(c)
+                    mine.append(s)
+                    members.append(np.frombuffer(x, np.uint64))
         if len(cls) > 1:
             yield done()
 
-    together = tasks.join(content, "cls").select("pivot", "i", "j", "cls", "mine", "members")
-    return together.repartition(shuffle_partitions(rows.sparkSession), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "cls").mapInArrow(join, "a long, b long")
+    together = _with_sets(rows, tasks, words).select("region", "i", "j", "cls", "mine", "members")
+    return together.repartition(shuffle_partitions(rows.sparkSession), "region", "i", "j").sortWithinPartitions("region", "i", "j", "cls").mapInArrow(join, "a long, b long")
+
+
+def _measured(rows: DataFrame, large: DataFrame, depth: int, words: int, percent: int) -> DataFrame:
+    """(region, cls, near): the pivots of each class's region, with distance and whether they are linked. ``large``: (region, cls, rid, total)."""
+    chunks = F.ceil(F.col("total") / REGION)
+    centre = F.pmod(F.xxhash64("cls", F.lit(depth)), F.lit(CENTRES))
+    pivots = large.groupBy("region", centre.alias("centre")).agg(F.min(F.struct("cls", "rid")).alias("p"), F.max(chunks).alias("chunks"))
+    pivots = pivots.select("p.rid", "region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "p.cls")
+    tasks = cut(pivots.unionAll(large.select("rid", "region", F.pmod(F.xxhash64("cls", F.lit(-1 - depth)), chunks).alias("chunk"), F.lit(1).alias("role"), "cls")))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centres = None, {}
+        for b in batches:
+            out: list[list] = [[], [], []]
+            for region, chunk, role, c, x in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if (region, chunk) != now:
+                    now, centres = (region, chunk), {}
+                s = np.frombuffer(x, np.uint64)
+                if not role:
+                    centres[c] = s
+                    continue
+                near = []
+                for p, other in centres.items():
+                    inter = len(np.intersect1d(s, other, assume_unique=True))
+                    union = len(s) + len(other) - inter
+                    near.append({"pivot": p, "d": 1 - inter / union, "linked": 100 * inter >= percent * union})
+                for o, v in zip(out, (region, c, near)):
+                    o.append(v)
+            kind = pa.list_(pa.struct([("pivot", pa.int64()), ("d", pa.float64()), ("linked", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kind)], ["region", "cls", "near"])
+
+    together = _with_sets(rows, tasks, words).select("region", "chunk", "role", "cls", "members")
+    return together.repartition(shuffle_partitions(rows.sparkSession), "region", "chunk").sortWithinPartitions("region", "chunk", "role").mapInArrow(measure, "region long, cls long, near array<struct<pivot: long, d: double, linked: boolean>>")
+
+
+def region_edges(rows: DataFrame, member: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): edges between classes whose components are those of all links inside regions. ``member``: (region, cls, rid, n)."""
+    single = (F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("mine"))
+    out, depth, far = [], 0, 2 * (1 - percent / 100) + 1e-6
+    member = member.withColumn("parent", F.lit(None).cast("long"))
+    while True:
+        member = cut(member.join(member.groupBy("region").agg(F.sum("n").alias("total")), "region"))
+        out.append(_joined(rows, cut(member.where(F.col("total") <= REGION).select("rid", "region", *single, "cls")), words, percent))
+        large = member.where(F.col("total") > REGION)
+        if large.isEmpty():
+            break
+        stuck = F.coalesce(F.col("total") > 0.9 * F.col("parent"), F.lit(False))
+        # no pivot divides it further: pairs of blocks
+        blocks = F.ceil(F.col("total") / REGION).cast("int")
+        rest = large.where(stuck).withColumn("mine", F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        out.append(_joined(rows, cut(rest.select("rid", "region", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls")), words, percent))
+        large = large.where(~stuck)
+        near = cut(_measured(rows, large.select("region", "cls", "rid", "total"), depth, words, percent).dropDuplicates(["region", "cls"]))
+        hits = near.select(F.col("cls").alias("a"), F.explode("near").alias("p")).where("p.linked").select("a", F.col("p.pivot").alias("b"))
+        out.append(hits)
+        group = components(hits).select(F.col("node").alias("cls"), "root")
+        home = F.array_min(F.transform("near", lambda x: x["d"]))
+        guests = near.withColumn("home", home).select("region", "cls", F.explode("near").alias("p"), "home").where(F.col("p.d") <= F.col("home") + far)
+        guests = guests.join(large.select("region", "cls", "rid", "n", F.col("total").alias("parent")), ["region", "cls"]).join(group, "cls", "left")
+        guests = cut(guests.select(F.xxhash64("region", "p.pivot").alias("region"), "cls", "rid", "n", "parent", F.coalesce("root", "cls").alias("root")))
+        open_ = guests.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("region")
+        member = guests.drop("root").join(open_, "region", "left_semi")
+        depth += 1
+    edges = out[0]
+    for x in out[1:]:
+        edges = edges.unionAll(x)
+    return edges
+
+
+def links(rows: DataFrame, table: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): edges between classes whose components are those of all links."""
+    pairs = cut(shared_cells(rows, words, percent))
+    member = pairs.unionAll(pairs.select("pivot", "pivot").distinct())
+    wanted = member.select("cls").distinct()
+    known = table.where("n > 0").groupBy("cls").agg(F.min(F.struct("rid", "n", "sketch")).alias("r"))
+    reps = cut(known.join(wanted, "cls", "left_semi").select("cls", "r.rid", "r.n", "r.sketch"))
+    near = cut(neighbourhoods(member, reps, percent))
+    return region_edges(rows, near.join(reps.select("cls", "rid", "n"), "cls").select("region", "cls", "rid", "n"), words, percent)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -308,7 +533,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = with_row_ids(docs)
     table = cut(sets_table(rows, words))
     roots = cut(components(links(rows, table, words, percent)).withColumnRenamed("node", "cls"))
-    rooted = join_checked(table, roots, ["cls"], "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
+    rooted = join_checked(table.drop("sketch"), roots, ["cls"], "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select("doc_id", "rid", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "root")
 
