@@ -3,8 +3,8 @@
 The corpus falls into segments of equal anchors (see ``anchors``): every window of ``length`` bytes lies in one segment, equal windows
 under one key. A shard orders the suffixes of its segments column by column: each round inserts one more symbol of every
 segment, from the last to the first, into the Burrows-Wheeler transform of the collection, and updates the common prefixes of
-neighbouring rows next to the insertions. Columns are kept in external files that are read and written in sequence, once a
-round. Symbols are blocks of eight bytes counted from the anchor, so equal windows have equal blocks; rows whose common prefix
+neighbouring rows next to the insertions. The columns of symbols are an external file, written once and read in sequence, a column a
+round; the transform of a collection is bounded and is merged with a round's insertions in one pass. Symbols are blocks of eight bytes counted from the anchor, so equal windows have equal blocks; rows whose common prefix
 has the blocks that a window surely contains form a class, and the bytes of the window before and after those blocks decide.
 
 Defined results: null text is empty; matches never cross documents; a repeated row counts as another place; texts shorter than a window
@@ -28,18 +28,30 @@ BLOCK = 8
 
 
 class Columns:
-    """Named arrays in external files: put and got whole, in sequence; they go with the folder."""
-
-    def __init__(self, folder: str):
-        self.folder, self.kinds = folder, {}
-
-    def put(self, **arrays: np.ndarray) -> None:
-        for name, a in arrays.items():
-            self.kinds[name] = a.dtype
-            a.tofile(os.path.join(self.folder, name))
-
-    def get(self, *names: str) -> list[np.ndarray]:
-        return [np.fromfile(os.path.join(self.folder, n), self.kinds[n]) for n in names]
+    """The symbols of all strings, a column a round, in one external file that is written and read in sequence. A column has the j-th
+    symbol from the end of each string that has one, strings in order of their numbers."""
+
+    def __init__(self, strings: list[np.ndarray], folder: str):
+        sizes = np.array([len(s) for s in strings], np.int64)
+        self.strings, self.rounds = len(strings), int(sizes.max(initial=0))
+        self.path = os.path.join(folder, "columns")
+        by_size = np.argsort(-sizes, kind="stable")
+        flat, ends = np.concatenate([*strings, np.zeros(0, np.int32)]).astype(np.int32), np.cumsum(sizes)
+        self.counts = np.searchsorted(-sizes[by_size], -np.arange(self.rounds), side="left")
+        with open(self.path, "wb", buffering=1 << 20) as f:
+            for j, n in enumerate(self.counts):
+                longer = np.sort(by_size[:n])
+                f.write(longer.astype(np.int32).tobytes())
+                f.write(flat[ends[longer] - 1 - j].tobytes())
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        """For each round the symbols by string, -1 where the string has ended."""
+        with open(self.path, "rb", buffering=1 << 20) as f:
+            for n in self.counts.tolist():
+                column = np.full(self.strings, -1, np.int64)
+                who = np.frombuffer(f.read(4 * n), np.int32)
+                column[who] = np.frombuffer(f.read(4 * n), np.int32)
+                yield column
 
 
 def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -58,26 +70,17 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
 
 def suffix_order(strings: list[np.ndarray], folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, length, lcp) of all suffixes of the strings in their order, empty ones first; strings end in terminators of
-    their own, smaller than any symbol. ``lcp``: symbols shared with the row above."""
+    their own, smaller than any symbol. ``lcp``: symbols shared with the row above.
+
+    A round's insertions are sorted among themselves and merged into what is there in one pass. What is held between rounds is a
+    collection's transform, which is bounded; the strings themselves are read from the external columns, one a round."""
     m = len(strings)
-    sizes = np.array([len(s) for s in strings], np.int64)
-    rounds = int(sizes.max()) if m else 0
-    disk = Columns(folder)
-    # column j holds the j-th symbol from the end of each string that has one
-    by_size = np.argsort(-sizes, kind="stable")
-    flat, ends = np.concatenate([*strings, np.zeros(0, np.int32)]).astype(np.int32), np.cumsum(sizes)
-    for j in range(rounds):
-        longer = np.sort(by_size[: np.searchsorted(-sizes[by_size], -j, side="left")])
-        disk.put(**{f"who{j}": longer, f"what{j}": flat[ends[longer] - 1 - j]})
-    del flat
-    symbol = np.full(m, -1, np.int64)  # what stands before each row's suffix: the transform
-    if rounds:
-        who, what = disk.get("who0", "what0")
-        symbol[who] = what
-    disk.put(symbol=symbol, lcp=np.zeros(m, np.int16), sid=np.arange(m, dtype=np.int32), size=np.zeros(m, np.int16), merged=np.zeros(0, np.int64), fresh=np.arange(m))
-    for j in range(rounds):
-        symbol, lcp, sid, size, merged, fresh = disk.get("symbol", "lcp", "sid", "size", "merged", "fresh")
-        act = fresh[symbol[fresh] >= 0]
+    columns = iter(Columns(strings, folder))
+    symbol = next(columns, np.full(m, -1, np.int64))  # what stands before each row's suffix: the transform
+    lcp, sid, size = np.zeros(m, np.int16), np.arange(m, dtype=np.int32), np.zeros(m, np.int16)
+    merged, fresh = np.zeros(0, np.int64), np.arange(m)  # (first symbol, row of the rest) of each row but the empty suffixes; rows of the last round
+    j = 0
+    while len(act := fresh[symbol[fresh] >= 0]):
         new = (symbol[act] << 32) | act  # rows by (symbol before, row): their order is the order of the longer suffixes
         order = np.argsort(new)
         new, act = new[order], act[order]
@@ -88,34 +91,27 @@ def suffix_order(strings: list[np.ndarray], folder: str) -> tuple[np.ndarray, np
         is_new[place] = True
         source, first = both & 0xFFFFFFFF, both >> 32
         # common prefixes: one more than the least between the two sources, if the first symbols are equal
-        changed = np.flatnonzero(is_new | np.concatenate(([False], is_new[:-1])))
-        changed = changed[changed > 0]
-        changed = changed[first[changed] == first[changed - 1]]
+        after = np.zeros(len(both), bool)
+        after[1:] = is_new[:-1]
         shared = np.zeros(len(both), np.int16)
         shared[~is_new] = lcp[m:]
-        shared[is_new] = 0
-        heads = np.concatenate(([False], is_new[:-1])) & ~is_new
-        shared[heads] = 0
+        shared[after & ~is_new] = 0
+        changed = np.flatnonzero(is_new | after)
+        changed = changed[changed > 0]
+        changed = changed[first[changed] == first[changed - 1]]
         if len(changed):
             shared[changed] = 1 + _range_min(lcp, source[changed - 1] + 1, source[changed])
-        # what stands before the new suffixes
-        before = np.full(len(act), -1, np.int64)
-        if j + 1 < rounds:
-            who, what = disk.get(f"who{j + 1}", f"what{j + 1}")
-            spot = np.searchsorted(who, sid[act])
-            has = (spot < len(who)) & (who[np.minimum(spot, len(who) - 1)] == sid[act])
-            before[has] = what[spot[has]]
+        j += 1
+        column = next(columns, None)
+        before = np.full(len(act), -1, np.int64) if column is None else column[sid[act]]  # what stands before the new suffixes
         count = np.cumsum(np.bincount(at, minlength=len(merged) + 1))
         moved = source + np.where(source >= m, count[np.maximum(source - m, 0)], 0)
-        disk.put(
-            symbol=np.concatenate((symbol[:m], np.insert(symbol[m:], at, before))),
-            lcp=np.concatenate((np.zeros(m, np.int16), shared)),
-            sid=np.concatenate((sid[:m], np.insert(sid[m:], at, sid[act]))),
-            size=np.concatenate((size[:m], np.insert(size[m:], at, np.full(len(act), j + 1, np.int16)))),
-            merged=(first << 32) | moved,
-            fresh=place + m,
-        )
-    sid, size, lcp = disk.get("sid", "size", "lcp")
+        own = sid[act]
+        symbol = np.concatenate((symbol[:m], np.insert(symbol[m:], at, before)))
+        lcp = np.concatenate((lcp[:m], shared))
+        sid = np.concatenate((sid[:m], np.insert(sid[m:], at, own)))
+        size = np.concatenate((size[:m], np.insert(size[m:], at, np.full(len(own), j, np.int16))))
+        merged, fresh = (first << 32) | moved, place + m
     return sid, size, lcp
 
 
