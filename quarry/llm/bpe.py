@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the memo of encoded pieces, for each Python worker: two generations of so many entries, pieces up to so many bytes.
-MEMO_ENTRIES, MEMO_BYTES = 120_000, 64
+MEMO_ENTRIES, MEMO_BYTES = 100_000, 64
 #: Bound of the memo of token pairs, for each Python worker.
-PAIR_ENTRIES = 1_000_000
+PAIR_ENTRIES = 400_000
 
 ENCODED_SCHEMA = "doc_id long, ids binary, n_tokens long"
 
@@ -38,6 +38,14 @@ ENCODED_SCHEMA = "doc_id long, ids binary, n_tokens long"
 _RUN = re.compile(r" (?<=\s )(?:\s|\Z)")
 
 
+def splits_at_spaces(pattern: str) -> bool:
+    """Whether the pattern is the one of which it is known that every single space starts a piece and that letters with at most one
+    space before them are one piece."""
+    import public_tokenizers
+
+    return pattern == public_tokenizers.PATTERN
+
+
 class ByteBPE:
     """Encoder and decoder for a rank file: one base64 token and its rank a line."""
 
@@ -50,6 +58,7 @@ class ByteBPE:
             self.tokens[rank] = tok
         self.sizes = [len(tok) for tok in self.tokens]
         self.find = regex.compile(pattern).findall
+        self.by_words = splits_at_spaces(pattern)
         self._splits()
         self.auto = ahocorasick.Automaton()
         for tok, rank in ranks.items():
@@ -156,8 +165,9 @@ class ByteBPE:
         """Ids as little-endian unsigned 32-bit integers.
 
         Words with the space before them are looked up whole; only unknown ones meet the split pattern. Texts with runs
-        of white space around a space, where the pattern looks further, go to the pattern as they are."""
-        if _RUN.search(text) is not None:
+        of white space around a space, where the pattern looks further, go to the pattern as they are, and so do all texts
+        under a pattern that is not known to split at spaces."""
+        if not self.by_words or _RUN.search(text) is not None:
             return b"".join(map(self._remembered, self.find(text)))
         words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.find(text)
         out = list(map(self.words.get, words))
@@ -244,5 +254,21 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, ENCODED_SCHEMA + ", decoded binary")
 
 
+def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, decoded): ``decode`` of ``encode``, by one Python worker a task instead of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(rank_file, pattern)
+        token = bpe.tokens.__getitem__
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                ids = [bpe.encode_to_bytes(t.as_py() or "") for t in part.column(1)]
+                raw = [b"".join(map(token, np.frombuffer(x, dtype="<u4").tolist())) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED_SCHEMA + ", decoded binary")
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
