@@ -29,7 +29,8 @@ WINDOW = 3
 #: Peak of a container's text, as a share of the page's highest, that furniture stays below; likewise an article beside the page's text.
 FURNITURE = 0.3
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[a-z]+")
 
@@ -165,30 +166,58 @@ class _Tree:
             self._end(frozenset([name]), BLOCK | CELLS, True)
 
     def _read(self, page: str) -> None:
-        at, n = 0, len(page)
+        """One pass; every character is looked at a bounded number of times, whatever is left open."""
+        at, n, last = 0, len(page), page.rfind(">")
+        ends = {q: page.rfind(q) for q in "\"'"}
+        quoted = True  # until quotes of some tag turn out to swallow the rest of the page
         while at < n:
-            m = _TOKEN.match(page, at)
-            at = self.at = m.end()
-            s = m.group()
-            if s[0] != "<" or s == "<":
-                if self.open.get("head") and not s.isspace():
-                    self._end(frozenset(["head"]), frozenset())
-                self.events.append(("text", s))
+            if page[at] != "<":
+                end = page.find("<", at)
+                end = n if end < 0 else end
+                self._text(page[at:end])
+                at = self.at = end
                 continue
-            if s.startswith("<![CDATA["):
+            if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+                close = "-->" if page[at + 2] == "-" else "]]>"
+                end = page.find(close, at + 4 if close == "-->" else at + 9)
+                at = self.at = n if end < 0 else end + 3
                 continue
-            close, name, attrs = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
-            if name is None:  # a comment or declaration
+            m = _NAME.match(page, at)
+            if at > last or m is None and page[at + 1 : at + 2] not in ("!", "?"):
+                self._text("<")
+                at = self.at = at + 1
                 continue
-            name = name.lower()
+            if m is None:  # a declaration
+                at = self.at = page.find(">", at) + 1
+                continue
+            end = m.end()
+            while quoted:
+                stop = _STOP.search(page, end)
+                if stop is None or stop[0] != ">" and ends[stop[0]] <= stop.start():
+                    quoted = stop is not None and stop[0] != ">"  # this quote has no partner; others may
+                    end = page.find(">", m.end())
+                    break
+                if stop[0] == ">":
+                    end = stop.start()
+                    break
+                end = page.find(stop[0], stop.end()) + 1
+            else:
+                end = page.find(">", m.end())
+            at = self.at = end + 1
+            name, attrs, close = m[1].lower(), page[m.end() : end], page[m.start() + 1] == "/"
             if name in RAW and not close and not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
-                at = n if end is None else end.start()
+                after = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+                at = n if after is None else after.start()
             elif close:
                 self._close(name)
             elif name not in RAW:
                 self._start(name, attrs)
 
+    def _text(self, s: str) -> None:
+        if self.open.get("head") and not s.isspace():
+            self._end(frozenset(["head"]), frozenset())
+        self.events.append(("text", s))
+
     def _stray(self, name: str) -> bool:
         """Whether the open article or main ``name`` still has its own end tag ahead, so that an end tag from outside it is a stray one."""
         if self.marks is None:
