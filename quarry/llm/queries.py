@@ -47,11 +47,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ordered = [rule for rule, _, _ in quality.plan(docs)]
+    ordered = [rule for rule, _, _ in quality.plan(docs, given=quality.BASE)]
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    return quality.with_features(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.expr(quality.cascade(ordered))).alias("kept")
-    )
+    verdict = F.when(failed, False).otherwise(F.expr(quality.cascade(ordered, given=quality.BASE)))
+    return quality.with_base(docs).select("doc_id", *quality.BASE, failed.alias("base_failed"), verdict.alias("kept"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

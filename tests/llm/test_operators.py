@@ -178,17 +178,34 @@ def test_components(spark):
 def test_quality_order_does_not_change_the_verdict(spark):
     rng = random.Random(2)
     rows = ODD + [(1, words(rng, 80, 5000)), (2, "*** " * 60), (3, "same line here\n" * 30), (4, words(rng, 80, 5000) + " # # # # # # # # # # # # # #"), (5, "one two three " * 60)]
+    rows += [(6, words(rng, 80, 5000).upper().replace("W", "WORDS")), (7, " ".join(str(rng.randint(1000, 9999)) for _ in range(80))), (8, " ".join(rng.sample([f"w{k}" for k in range(14)] * 5, 60)))]
+    rows += [(9, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000)))]
+    rows = [(i, t.translate(str.maketrans("0123456789", "abcdefghij")) if i in (1, 4, 6, 9) else t) for i, t in rows]
+    rows = [(i, t.upper() if i == 6 else t) for i, t in rows]
+    rows.append((1, rows[7][1]))  # a very long text, a repeated row  # a very long text, a repeated row
     df = docs(spark, rows).withColumn("n_words", F.lit("clash")).drop("n_words")
     orders = [list(quality.RULES), list(quality.RULES)[::-1]]
-    got = [{r.doc_id for r in df.withColumn("ok", F.expr(quality.cascade(o, "text"))).where("ok").collect()} for o in orders]
-    by_column = {r.doc_id for r in quality.with_features(df).where(quality.cascade(orders[0])).collect()}
-    assert got[0] == got[1] == by_column == {1}
-    assert {r.doc_id for r in quality.judge(df).where("kept").collect()} == {1}
-    assert len(quality.plan(df.limit(0))) == len(quality.RULES)
-    f = {r.doc_id: r for r in quality.with_features(df).collect()}
+    got = [sorted(r.doc_id for r in df.withColumn("ok", F.expr(quality.cascade(o, "text"))).where("ok").collect()) for o in orders]
+    base = quality.with_base(df)
+    by_column = [sorted(r.doc_id for r in base.where(quality.cascade(o, given=quality.BASE)).collect()) for o in orders]
+    assert got[0] == got[1] == by_column[0] == by_column[1] == [1, 1, 9]
+    assert sorted(r.doc_id for r in quality.judge(df).where("kept").collect()) == [1, 1, 9]
+    planned = quality.plan(df.limit(0))
+    assert [r for r, _, _ in planned] == list(quality.RULES)  # nothing rejects anything: ties keep the order
+    planned = {r.name: (cost, share) for r, cost, share in quality.plan(df, given=quality.BASE)}
+    assert planned["few_words"][1] > 0 and all(c > 0 for c, _ in planned.values())
+    f = {r.doc_id: r for r in base.collect()}
     assert f[5].n_repeat_words == 180 and f[3].n_dup_lines == 29 and f[2].n_symbols == 180 and f[100].n_words == 0
 
 
+def test_quality_sample_comes_from_all_partitions(spark):
+    df = spark.range(20_000, numPartitions=10).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), F.col("id").cast("string")).alias("text"))
+    got = [int(r.text[2:]) for r in quality.sampled(df, rows=300).collect()]
+    assert 200 < len(got) < 400 and len({i // 2000 for i in got}) == 10
+    same_rows = df.where("doc_id = 7").crossJoin(spark.range(1000)).drop("id")
+    assert quality.sampled(same_rows, rows=300).count() <= 1
+
+
 # 5. and 7. exact substrings
 
 
@@ -243,6 +260,18 @@ def test_fm_dedup_equals_brute_force(spark, length):
 # 6. nearest neighbours
 
 
+@pytest.mark.parametrize(("shift", "scale"), [(0, 1), (1e6, 1), (0, 1e30), (0, 1e-200), (-3e8, 1e3)])
+def test_hnsw_recall_of_any_finite_vectors(spark, monkeypatch, shift, scale):
+    monkeypatch.setattr(hnsw, "SHARD", 400)
+    monkeypatch.setattr(hnsw, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    rows = [(i, ((rng.normal(size=12) + shift) * scale).tolist()) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in hnsw.search(df, F.col("vec_id") % 20 == 0, 10).collect()}
+    want = {(q, i) for q, _, i, _ in hnsw.brute_force(rows, set(range(0, 1000, 20)), 10)}
+    assert len(want) == 500 and len(got & want) >= 0.95 * len(want)
+
+
 def test_hnsw(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(30, 8))
@@ -335,6 +364,16 @@ def test_html_cases(spark):
     assert html_main.extract(df.limit(0)).count() == 0
 
 
+def test_html_hostile_markup_takes_linear_time():
+    import time
+
+    for page in ("<a " * 200_000, "<!" * 200_000, "<a '>' " * 60_000, '<a "' * 60_001, "<a '>" * 60_000, "<p>x" * 30_000, "<div>" * 30_000, "<article>" * 20_000 + "</div>" * 20_000):
+        began = time.process_time()
+        html_main.main_text(page)
+        assert time.process_time() - began < 10
+    assert html_main.main_text('<p title="a > b">One</p><p title="never closed>Two</p>') == "One\n\nTwo"
+
+
 def test_html_articles_in_main():
     assert html_main.main_text("<main><article><h1>T</h1><p>One</p></article></main>") == "T\n\nOne"
     assert html_main.main_text("<main><h1>T</h1><article><p>One</p></article><article><p>Two</p></article></main><p>out</p>") == "T\n\nOne\n\nTwo"
