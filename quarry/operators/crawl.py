@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.robots import decide
+from quarry.functions.urls import blocked_name, host_of
 from quarry.session import cut
 
 
@@ -23,10 +25,48 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
-def gates(pages: DataFrame, max_bytes: int = 2_000_000) -> DataFrame:
-    """Adds ``outcome`` to (status, body, title): failed, too_large, skipped (neither body nor title), or fetched."""
-    too_large = F.octet_length(F.coalesce("body", F.lit(""))) > max_bytes
-    empty = (F.coalesce("body", F.lit("")) == "") & (F.coalesce("title", F.lit("")) == "")
+def walk(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, max_pages: int = 100, hosts: DataFrame | None = None, robots: DataFrame | None = None, max_bytes: int = 2_000_000) -> DataFrame:
+    """(url, depth, outcome): a bounded crawl over ``pages`` (url, status, html, title, body, links array<string>), whose URLs and links are
+    in normal form, from ``seeds`` (url, seq). Levels are taken in order, and in a level the pages in the order in which their links
+    were met. A URL is met if its host is allowed (``hosts``; null: all) and public; robots rules (``robots.rules``) skip it, a page that is
+    not there fails, the other outcomes are those of ``gates``. Only fetched pages count against ``max_pages`` and lead on."""
+
+    def met(urls: DataFrame) -> DataFrame:
+        rows = urls.withColumn("host", host_of(F.col("url"))).where("url IS NOT NULL AND host <> ''").where(~blocked_name(F.col("host")))
+        return allowed(rows, hosts).select("url", "seq")
+
+    level = met(seeds.select("url", F.array(F.col("seq").cast("long")).alias("seq")))
+    level = level.groupBy("url").agg(F.min("seq").alias("seq"))
+    seen, left = None, max_pages
+    for depth in range(max_depth + 1):
+        if seen is not None:
+            level = level.join(seen.select("url"), "url", "left_anti")
+        judged = gates(level.join(pages, "url", "left"), max_bytes, body="html", text="body")
+        judged = judged.withColumn("outcome", F.when(F.col("status").isNull(), "failed").otherwise(F.col("outcome")))
+        if robots is not None:
+            judged = decide(judged, robots).withColumn("outcome", F.when(F.col("allowed"), F.col("outcome")).otherwise("skipped"))
+        judged = cut(judged.select("url", "seq", "outcome", "links"))
+        fetched = judged.where("outcome = 'fetched'")
+        n = fetched.count()
+        if n > left:  # the crawl ends with the page that fills it
+            end = fetched.orderBy("seq").limit(left).agg(F.max("seq").alias("end"))
+            judged = judged.crossJoin(F.broadcast(end)).where(F.col("seq") <= F.col("end")).drop("end")  # one row
+            fetched = judged.where("outcome = 'fetched'")
+        now = judged.select("url", F.lit(depth).cast("long").alias("depth"), "outcome")
+        seen = cut(now if seen is None else seen.unionByName(now))
+        left -= min(n, left)
+        if not n or not left:
+            break
+        targets = fetched.select("seq", F.posexplode("links").alias("at", "url")).select("url", F.concat("seq", F.array(F.col("at").cast("long"))).alias("seq"))
+        level = met(targets.groupBy("url").agg(F.min("seq").alias("seq")))
+    return seen
+
+
+def gates(pages: DataFrame, max_bytes: int = 2_000_000, body: str = "body", text: str | None = None) -> DataFrame:
+    """Adds ``outcome`` to (status, body, title): failed, too_large, skipped (neither text nor title), or fetched. ``text``: the column of
+    the page's text, if it is not the body itself."""
+    too_large = F.octet_length(F.coalesce(body, F.lit(""))) > max_bytes
+    empty = (F.trim(F.coalesce(text or body, F.lit(""))) == "") & (F.coalesce("title", F.lit("")) == "")
     return pages.withColumn("outcome", F.when(F.col("status") >= 400, "failed").when(too_large, "too_large").when(empty, "skipped").otherwise("fetched"))
 
 
@@ -41,6 +81,21 @@ def frontier_push(frontier: DataFrame, found: DataFrame) -> DataFrame:
     return frontier.unionByName(first.join(frontier.select("url"), "url", "left_anti"))
 
 
+def frontier_pop(frontier: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` rows by (depth, seq), and the rest."""
+    first = cut(frontier.orderBy("depth", "seq").limit(n))
+    return first, frontier.join(F.broadcast(first.select("url")), "url", "left_anti")  # n rows
+
+
+def statistics(events: DataFrame) -> DataFrame:
+    """One row for a crawl's events (outcome, at, bytes): counts, seconds from first to last, pages a minute."""
+    of = lambda x: F.coalesce(F.sum(F.col("outcome").isin(*x).cast("long")), F.lit(0))
+    seconds = (F.unix_micros(F.max("at").cast("timestamp")) - F.unix_micros(F.min("at").cast("timestamp"))) / 1e6
+    got = F.coalesce(F.sum(F.when(F.col("outcome") == "fetched", F.col("bytes"))), F.lit(0))
+    one = events.agg(of(["fetched"]).alias("fetched"), of(["failed", "too_large"]).alias("failed"), of(["skipped"]).alias("skipped"), got.alias("bytes"), F.coalesce(seconds, F.lit(0.0)).alias("seconds"))
+    return one.withColumn("pages_per_minute", F.when(F.col("seconds") > 0, F.col("fetched") * 60 / F.col("seconds")).otherwise(0.0))
+
+
 def politeness(requests: DataFrame, delay_seconds: float) -> DataFrame:
     """Adds ``wait``: the seconds that a request (host, ts) must wait after the one before it at its host."""
     from pyspark.sql import Window as W

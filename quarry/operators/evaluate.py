@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators import search
+from quarry.operators.index import Index
+from quarry.session import cut, shuffle_partitions
+
 
 def ranked(hits: DataFrame, score: str) -> DataFrame:
     w = W.partitionBy("query_id").orderBy(F.desc(score), "doc_id")
@@ -35,12 +41,33 @@ def macro(metrics: DataFrame) -> DataFrame:
     return metrics.agg(*[F.avg(c).alias("mrr" if c == "rr" else c) for c in metrics.columns if c != "query_id"])
 
 
+def compare(index: Index, queries: DataFrame, qrels: DataFrame, k: int = 10, config: search.RankingConfig = search.RankingConfig()) -> DataFrame:
+    """(method, p_at_5, p_at_10, r_at_10, mrr, ndcg_at_5, ndcg_at_10, average_latency_ms) of BM25 and of the ranking pipeline over queries
+    (query_id, query), all in one job a method; the latency is a method's time over its queries."""
+    asked = cut(queries.select("query_id", index.tokenizer.tokens("query").alias("terms")))
+    n = max(1, asked.count())
+    words = asked.select("query_id", F.explode("terms").alias("term")).distinct()
+    out = None
+    for method, hits in (("bm25", lambda: search.BM25().score_many(index, words).withColumnRenamed("bm25", "score")), ("ranking", lambda: search.rank_many(index, asked, config).withColumnRenamed("final", "score"))):
+        began = time.perf_counter()
+        run = ranked(hits(), "score")
+        run = cut(run if method == "bm25" else run.where(F.col("rank") <= k))
+        took = (time.perf_counter() - began) * 1000 / n
+        row = macro(per_query(run, qrels, (5, 10))).select(F.lit(method).alias("method"), "p_at_5", "p_at_10", "r_at_10", "mrr", "ndcg_at_5", "ndcg_at_10", F.lit(took).alias("average_latency_ms"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def percentiles(rows: DataFrame, value: str, ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """(p, value) at index int(p * (n - 1)) of the sorted values: no interpolation, no list in one place."""
+    """(p, value) at index int(p * (n - 1)) of the sorted values, without interpolation: equal values are counted first, sums run
+    inside sampled ranges of values, and the only window over all has a row a range."""
     spark = rows.sparkSession
-    w = W.partitionBy().orderBy(value)
-    counted = rows.groupBy(value).agg(F.count("*").alias("n"))  # equal values meet first
-    upto = counted.select(value, (F.sum("n").over(w)).alias("upto"), F.sum("n").over(W.partitionBy()).alias("total"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    ranged = cut(counted.repartitionByRange(shuffle_partitions(spark), value).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.sum("n").alias("size"))
+    starts = sizes.select("_range", (F.sum("size").over(W.orderBy("_range")) - F.col("size")).alias("before"), F.sum("size").over(W.partitionBy()).alias("total"))
+    inside = F.sum("n").over(W.partitionBy("_range").orderBy(value))
+    upto = ranged.withColumn("inside", inside).join(F.broadcast(starts), "_range").select(value, (F.col("inside") + F.col("before")).alias("upto"), "total")
     wanted = spark.range(1).select(F.explode(F.array(*[F.lit(p) for p in ps])).alias("p"))
     picked = upto.crossJoin(F.broadcast(wanted)).where(F.col("upto") > F.floor(F.col("p") * (F.col("total") - 1)))
     return picked.groupBy("p").agg(F.min(value).alias("value"))

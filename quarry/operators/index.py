@@ -7,10 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import Tokenizer, clean
+from quarry.functions.text import Tokenizer, clean, uses
 from quarry.session import cut
 
 
+_LINE = "term string, postings array<struct<doc_id: long, tf: long, positions: array<long>>>, doc_id long, url string, title string, doc_length long, title_length long"
+
+
 @dataclass(frozen=True)
 class Index:
     """``postings``: term, doc_id, tf (and positions, if asked for); ``documents``: doc_id, url, title, doc_length, title_length.
@@ -25,7 +28,7 @@ class Index:
         """From (doc_id, text[, url, title]). ``cleaned``: texts are in NFKC without character references already.
         Terms are counted per document before anything is shuffled by term: all of a document's tokens are in one row."""
         tok = tokenizer or Tokenizer()
-        if not cleaned:
+        if not cleaned:  # else texts are tokenised as they are
             docs = clean(docs, text, *(["title"] if "title" in docs.columns else []))
         url = F.col("url") if "url" in docs.columns else F.lit("")
         title = F.col("title") if "title" in docs.columns else F.lit("")
@@ -72,7 +75,21 @@ class Index:
     def load(spark: SparkSession, path: str, tokenizer: Tokenizer | None = None) -> Index:
         return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"), tokenizer or Tokenizer())
 
+    def matched_positions(self, terms: list[str]) -> DataFrame:
+        """(doc_id, positions): where any of the terms stands in each document, in order; the index must have positions."""
+        found = self.postings.where(F.col("term").isin(*uses(terms)))
+        return found.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+
+    @staticmethod
+    def from_json(lines: DataFrame, tokenizer: Tokenizer | None = None) -> Index:
+        """From the lines (value) of ``to_json``, in any order."""
+        rows = lines.select(F.from_json("value", _LINE).alias("v")).select("v.*")
+        postings = rows.where("term IS NOT NULL").select("term", F.explode("postings").alias("p")).select("term", "p.*")
+        if not postings.where("positions IS NOT NULL").limit(1).count():
+            postings = postings.drop("positions")
+        return Index(postings, rows.where("term IS NULL").select("doc_id", "url", "title", "doc_length", "title_length"), tokenizer or Tokenizer())
+
     def to_json(self) -> DataFrame:
-        """One JSON line for each term and document."""
-        p = self.postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct(*[c for c in self.postings.columns if c != "term"]))).alias("postings"))
+        """One JSON line for each document, and one for each term and range of 65,536 doc_ids, so that no line grows without bound."""
+        p = self.postings.groupBy("term", F.floor(F.col("doc_id") / 65_536).alias("_range")).agg(F.sort_array(F.collect_list(F.struct(*[c for c in self.postings.columns if c != "term"]))).alias("postings"))
         return p.select(F.to_json(F.struct("term", "postings")).alias("value")).unionAll(self.documents.select(F.to_json(F.struct("*")).alias("value")))

@@ -33,7 +33,8 @@ class BM25:
         terms = queries.select("query_id", "term").distinct()
         small = few or terms.count() <= BROADCAST_TERMS
         hits = index.postings.select("term", "doc_id", "tf").join(F.broadcast(terms) if small else terms, "term")
-        df = hits.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+        asked = terms.select("term").distinct()  # a posting is there once a term and document, so df is a count
+        df = index.postings.select("term").join(F.broadcast(asked) if small else asked, "term").groupBy("term").agg(F.count("*").alias("df"))
         n = index.documents.agg(F.count("*").alias("n"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avgdl"))
         rows = hits.join(F.broadcast(df) if small else df, "term").join(index.documents.select("doc_id", "doc_length"), "doc_id", "left").crossJoin(F.broadcast(n))  # n is one row
         avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
@@ -131,6 +132,29 @@ def rank(index: Index, query: str, config: RankingConfig = RankingConfig(), sign
     return rows.select("doc_id", "url", "title", "bm25", *[f"{k}_score" for k in weights], "final", said.alias("explanation"), "matched_terms")
 
 
+def rank_many(index: Index, queries: DataFrame, config: RankingConfig = RankingConfig()) -> DataFrame:
+    """(query_id, doc_id, bm25, final) of queries (query_id, terms array<string>), as ``rank`` has them for one."""
+    words = queries.select("query_id", F.explode("terms").alias("term")).distinct()
+    avgdl = index.documents.agg(F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avgdl"))
+    rows = BM25().score_many(index, words).join(queries.select("query_id", "terms"), "query_id").join(index.documents, "doc_id").crossJoin(F.broadcast(avgdl))  # one row
+    asked = F.size("terms")
+    tokens, low = index.tokenizer.tokens("title"), F.lower(F.coalesce("url", F.lit("")))
+    title = F.when(F.size(tokens) > 0, F.size(F.filter("terms", lambda t: F.array_contains(tokens, t))) / asked).otherwise(0.0)
+    url = F.size(F.filter("terms", lambda t: F.contains(low, t))) / asked
+    final = config.bm25 * F.col("bm25") + config.title * title + config.url * url + config.freshness * F.lit(0.5) + config.quality * quality_signal()
+    return rows.select("query_id", "doc_id", "bm25", final.alias("final"))
+
+
+def clamped_ratio(value: Column, ceiling: Column) -> Column:
+    """``value`` as a share of ``ceiling``, from 0 to 1; 0 where the ceiling is not above 0."""
+    return F.when(ceiling <= 0, 0.0).otherwise(F.least(F.greatest(value / ceiling, F.lit(0.0)), F.lit(1.0)))
+
+
+def signal_json(value: Column, raw: Column | None = None) -> Column:
+    """A signal as JSON: its score, and what it was made of if that is known."""
+    return F.to_json(F.struct(value.alias("score"), *([raw.cast("double").alias("raw")] if raw is not None else [])))
+
+
 def retrieve(index: Index, query: str, docs: DataFrame, limit: int = 10, offset: int = 0, bm25: BM25 = BM25(), max_length: int = 240) -> DataFrame:
     """A page of hits with url, title and a highlighted snippet of the body. Bodies are joined after the page is cut, so only as
     many are looked at."""
@@ -216,6 +240,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors differ in length")).cast("double")).when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def vectors_upsert(stored: DataFrame, incoming: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Stored vectors with those of ``incoming`` (one row a key) in place of their own."""
+    return stored.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+
+
+def vectors_remove(stored: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Without the vectors of ``ids``; unknown ids change nothing."""
+    return stored.join(ids.select(key), key, "left_anti")
+
+
+def vectors_get(stored: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFrame:
+    return stored.join(ids.select(key), key, "left_semi")
+
+
 def vector_topk(vectors: DataFrame, query_id: int, limit: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, score): the vectors nearest to one of them by cosine, itself left out, ties by key."""
     q = vectors.where(F.col(key) == query_id).select(F.col(vector).alias("_q")).limit(1)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import content_hash
+from quarry.session import cut, shuffle_partitions
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
@@ -23,14 +24,14 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: list[str], order: str) -
 
 def assign_doc_ids(stored: DataFrame, incoming: DataFrame, key: str = "canonical_url") -> DataFrame:
     """(key, doc_id): known keys keep their id, new ones follow on the highest, in key order. Numbers are dealt in two levels, by
-    ranges of keys and inside them."""
+    sampled ranges of keys (the only window over all has a row a range) and inside them."""
     known = stored.select(key, "doc_id")
     keys = incoming.select(key).distinct()
-    new = keys.join(known, key, "left_anti").withColumn("_range", F.substring(key, 1, 24))  # ranges in key order
+    new = cut(keys.join(known, key, "left_anti").repartitionByRange(shuffle_partitions(stored.sparkSession), key).withColumn("_range", F.spark_partition_id()))
     sizes = new.groupBy("_range").agg(F.count("*").alias("n"))
     starts = sizes.select("_range", (F.sum("n").over(W.orderBy("_range")) - F.col("n")).alias("before"))
     top = known.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("top"))
-    numbered = new.withColumn("_i", F.row_number().over(W.partitionBy("_range").orderBy(key))).join(starts, "_range").crossJoin(F.broadcast(top))
+    numbered = new.withColumn("_i", F.row_number().over(W.partitionBy("_range").orderBy(key))).join(F.broadcast(starts), "_range").crossJoin(F.broadcast(top))
     return keys.join(known, key).select(key, "doc_id").unionByName(numbered.select(key, (F.col("top") + F.col("before") + F.col("_i")).alias("doc_id")))
 
 

@@ -132,6 +132,8 @@ SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences, CAST(min(pos
     "hybrid_topk": f"{_BASE}, {_TFIDF}, {_COS}, near AS (SELECT dl.doc_id, coalesce(semantic, 0) AS semantic FROM dl LEFT JOIN cs ON dl.doc_id = cs.doc_id ORDER BY 2 DESC, 1 LIMIT 50), b AS (SELECT coalesce(h.doc_id, near.doc_id) AS doc_id, coalesce(bm25, 0) / (SELECT max(bm25) FROM hits) AS bm25, coalesce(semantic, 0) AS semantic FROM hits h FULL OUTER JOIN near ON h.doc_id = near.doc_id) SELECT doc_id, round(bm25, 6) AS bm25, round(semantic, 6) AS semantic, round(b.bm25 + b.semantic, 6) AS final FROM b ORDER BY b.bm25 + b.semantic DESC, doc_id LIMIT 10",
     "content_hash": f"SELECT doc_id, sha256({_FP}) AS content_hash FROM documents",
     "duplicate_groups": f"SELECT sha256({_FP}) AS content_hash, count(*) AS n, min(doc_id) AS first_doc_id FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "ingest_counts": f"{_OUT} SELECT CAST(count(*) FILTER (outcome = 'inserted') AS BIGINT) AS inserted, CAST(count(*) FILTER (outcome = 'updated') AS BIGINT) AS updated, CAST(count(*) FILTER (outcome = 'duplicate') AS BIGINT) AS duplicates, 0::BIGINT AS failed FROM o",
+    "vectors_after_changes": "SELECT vec_id, CAST(label + CASE WHEN vec_id % 2 = 0 THEN 100 ELSE 0 END AS BIGINT) AS label FROM embeddings WHERE vec_id % 5 <> 0",
     "index_outcomes": f"{_OUT} SELECT * FROM o",
     "indexing_counters": f"{_OUT} SELECT outcome, count(*) AS n FROM o GROUP BY outcome",
     "assign_doc_ids": "SELECT url AS canonical_url, CASE WHEN page_id % 2 = 0 THEN page_id ELSE (SELECT max(page_id) FROM pages WHERE page_id % 2 = 0) + row_number() OVER (PARTITION BY page_id % 2 ORDER BY url) END AS doc_id FROM pages",
@@ -166,3 +168,20 @@ SELECT host, host = '' OR host IN ('localhost') OR ends_with(host, '.local') OR
     "stream_windows": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 1800000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT min(ts) AS session_start, user_id, count(*) AS n FROM s GROUP BY user_id, k",
 }
+# what a round trip or an unchanged text must give is what the index itself gives
+ORACLE_SQL["snapshot_round_trip"] = ORACLE_SQL["index_stats"]
+# greedy by client in order of time: a request is admitted if the last admitted one is a minute ago or more (limit 1)
+ORACLE_SQL["rate_limit"] = """
+WITH RECURSIVE e AS (
+  SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
+), r AS (
+  SELECT event_id, user_id, k, t AS kept, true AS allowed FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.event_id, e.user_id, e.k, CASE WHEN e.t - r.kept >= 60000000 THEN e.t ELSE r.kept END, e.t - r.kept >= 60000000 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1
+)
+SELECT event_id, user_id, allowed FROM r
+"""
+_MATCHED = "(SELECT string_agg(term, ' ' ORDER BY term) FROM post WHERE post.doc_id = fin.doc_id AND term IN ('ertion', 'page', 'thea'))"
+ORACLE_SQL["search_page"] = f"WITH {_RANK}, n AS (SELECT count(*) AS total FROM fin) SELECT fin.doc_id, total, 2::BIGINT AS page, round(final, 6) AS score, pg.title, fin.url, {_MATCHED} AS matched FROM fin JOIN pg USING (doc_id), n ORDER BY fin.final DESC, fin.doc_id LIMIT 5 OFFSET 5"
+ORACLE_SQL["plain_page"] = f"WITH {_RANK} SELECT fin.doc_id, round(bm25, 6) AS score, pg.title, fin.url FROM fin JOIN pg USING (doc_id) ORDER BY fin.bm25 DESC, fin.doc_id LIMIT 10"
+ORACLE_SQL["ingest_documents"] = f"{_OUT}, ids AS ({ORACLE_SQL['assign_doc_ids']}) SELECT ids.doc_id, pg.url AS canonical_url, title, sha256({_FP}) AS content_hash, CAST(length(text) AS BIGINT) AS body_length FROM pg JOIN ids ON ids.canonical_url = pg.url"

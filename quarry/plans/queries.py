@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import htmldoc, text, urls
-from quarry.operators import crawl, evaluate, search, store
+from quarry.functions import htmldoc, robots, text, urls
+from quarry.operators import crawl, evaluate, ingest, search, service, store
 from quarry.operators.index import Index
 from quarry.session import cut, table
+from quarry.sources import tables
 from quarry.streaming import requests
 
 QUERY, PAGE_QUERY, PREFIX = "thea ertion heon thea", "ertion thea page", "onan ert"
@@ -137,6 +138,70 @@ def matched_terms(spark, d):
     return search.BM25().score(_index(spark, d), QUERY).select(F.size("matched_terms").alias("n_matched")).groupBy("n_matched").agg(F.count("*").alias("n_docs"))
 
 
+def search_page(spark, d):
+    rows = service.search_page(_page_index(spark, d), PAGE_QUERY, 2, 5)
+    return rows.select("doc_id", "total", F.col("page").cast("long").alias("page"), _r("score"), "title", "url", F.array_join("matched_terms", " ").alias("matched"))
+
+
+def hybrid_page(spark, d):
+    return service.hybrid_page(_page_index(spark, d), PAGE_QUERY).select("doc_id", "total", _r("score"), "url", "highlighted", F.round(F.col("explanation")["semantic"], 6).alias("semantic"))
+
+
+def plain_page(spark, d):
+    return service.plain_page(_page_index(spark, d), PAGE_QUERY).select("doc_id", _r("score"), "title", "url")
+
+
+def matched_positions(spark, d):
+    return _index(spark, d, positions=True).matched_positions(QUERY.split()).select("doc_id", F.size("positions").cast("long").alias("n"), F.element_at("positions", 1).alias("first"), F.element_at("positions", -1).alias("last"))
+
+
+def snapshot_round_trip(spark, d):
+    """The statistics of the index after it was written to JSON lines and read back."""
+    back = Index.from_json(cut(_index(spark, d).to_json()))
+    return back.stats().withColumn("avg_document_length", F.round("avg_document_length", 6))
+
+
+def index_cleaned(spark, d):
+    """Texts are cleaned (character references, NFKC) before they are tokenised."""
+    return Index.build(_docs(spark, d)).stats().withColumn("avg_document_length", F.round("avg_document_length", 6))
+
+
+def vectors_after_changes(spark, d):
+    """A store of vectors after the rows of even id were replaced and those divisible by 5 removed."""
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    changed = search.vectors_upsert(v, v.where("vec_id % 2 = 0").withColumn("label", F.col("label") + 100))
+    return search.vectors_remove(changed, v.where("vec_id % 5 = 0")).select("vec_id", F.col("label").cast("long").alias("label"))
+
+
+def _ingested(spark, d):
+    stored, pages = _stored(spark, d)
+    seen = stored.select("doc_id", F.col("canonical_url").alias("url"), "canonical_url", "title", F.lit("").alias("description"), "body", F.lit("").alias("language"), "content_hash", F.length("title").alias("title_length"), F.length("body").alias("body_length"), F.lit("2024-01-01").cast("timestamp").alias("last_crawled_at"), F.lit("fresh").alias("crawl_status"))
+    incoming = htmldoc.extract(table(spark, d, "pages")).join(pages.select(F.col("doc_id").alias("page_id"), F.col("canonical_url").alias("at")), "page_id")
+    incoming = incoming.select(F.col("page_id").alias("seq"), F.col("at").alias("url"), F.col("at").alias("canonical_url"), "title", "description", "body", "language", "links")
+    none = lambda name: spark.createDataFrame([], tables.SCHEMAS[name])
+    return ingest.index_pages(cut(seen), none("document_links"), none("domains"), incoming, "2024-02-01")
+
+
+def ingest_counts(spark, d):
+    return _ingested(spark, d).counts()
+
+
+def ingest_documents(spark, d):
+    return _ingested(spark, d).documents.select("doc_id", "canonical_url", "title", "content_hash", F.col("body_length").cast("long").alias("body_length"))
+
+
+def index_rebuilt(spark, d):
+    return service.rebuilt(_ingested(spark, d).documents).stats().withColumn("avg_document_length", F.round("avg_document_length", 6))
+
+
+def evaluate_methods(spark, d):
+    """BM25 against the ranking pipeline over the pages; relevant to a page's title words are the pages of its host."""
+    index = _page_index(spark, d)
+    asked = index.documents.where("doc_id < 40").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"), urls.host_of(F.col("url")).alias("host"))
+    qrels = index.documents.select("doc_id", urls.host_of(F.col("url")).alias("host")).join(asked.select("query_id", "host"), "host").select("query_id", "doc_id")
+    return evaluate.compare(index, asked.where("trim(query) <> ''"), cut(qrels)).drop("average_latency_ms")
+
+
 def retriever_join(spark, d):
     rows = search.retrieve(_index(spark, d), QUERY, _docs(spark, d))
     return rows.select("doc_id", _r("bm25"), "snippet", "highlighted")
@@ -294,6 +359,16 @@ def crawl_links(spark, d):
     return crawl.bfs(link_graph(spark, d), seeds.where("url IS NOT NULL"), 4).select("url", F.col("depth").cast("long").alias("depth"))
 
 
+def crawl_walk(spark, d):
+    """The crawl as a whole: allowlist, host guard, robots, response gates and page limit, over the links of the pages."""
+    normal = urls.normalize_url(F.col("url"), F.lit(None).cast("string"))["url"]
+    read = htmldoc.extract(table(spark, d, "pages"), url="url").select("page_id", normal.alias("url"), "title", "body", "links")
+    pages = read.join(table(spark, d, "pages").select("page_id", "html", F.when(F.col("page_id") % 11 == 0, 404).otherwise(200).alias("status")), "page_id")
+    pages = cut(store.latest(pages.where("url IS NOT NULL"), ["url"], ["page_id"]))
+    hosts = cut(pages.where("page_id % 5 < 4").select(urls.host_of(F.col("url")).alias("host")).distinct())
+    return crawl.walk(pages, pages.where("page_id < 20").select("url", F.col("page_id").alias("seq")), 2, 1_000_000, hosts, _robots(spark, d))
+
+
 def crawl_stats(spark, d):
     p = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 11 == 0, 404).otherwise(200).alias("status"), F.col("html").alias("body"), htmldoc.title(F.col("html")).alias("title"))
     return store.counters(crawl.gates(p, 3000), "outcome")
@@ -312,24 +387,19 @@ def host_guard(spark, d):
     return rows.select("host", urls.blocked_name(F.col("host")).alias("blocked"))
 
 
-def robots_gate(spark, d):
-    """Rule: no host lets in paths under /en/6."""
-    path = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
-    return table(spark, d, "pages").select("page_id", (~path.startswith("/en/6")).alias("allowed"))
+def _robots(spark, d):
+    """Every host has a file: nobody is let in under /en/6, one other agent nowhere."""
+    body = "User-agent: BadBot\nDisallow: /\nCrawl-delay: 9\n\nUser-agent: *\nDisallow: /en/6\nCrawl-delay: 1.5 # seconds\n"
+    hosts = table(spark, d, "pages").select(urls.host_of(F.col("url")).alias("host")).distinct()
+    return cut(robots.rules(hosts.withColumn("body", F.lit(body)), "QuarryBot/1.0"))
 
 
-def robots_exact(spark, d):
-    body = "User-agent: *\nDisallow: /en/6\nCrawl-delay: 1.5\n"
+def robots_gate(spark, d):
+    return robots.decide(table(spark, d, "pages").select("page_id", "url"), _robots(spark, d)).select("page_id", "allowed")
 
-    def run(batches):
-        for b in batches:
-            r = urls.Robots("QuarryBot")
-            for u in b["url"]:
-                r.load(f"{u.split('/')[0]}//{u.split('/')[2]}/robots.txt", body)
-            said = [r.can_fetch(u) for u in b["url"]]
-            yield b[["page_id"]].assign(allowed=[s.allowed for s in said], crawl_delay=[s.crawl_delay for s in said])
 
-    return table(spark, d, "pages").select("page_id", "url").mapInPandas(run, "page_id long, allowed boolean, crawl_delay double")
+def robots_exact(spark, d):
+    return robots.decide(table(spark, d, "pages").select("page_id", "url"), _robots(spark, d)).select("page_id", "allowed", "crawl_delay")
 
 
 def same_site(spark, d):
@@ -400,7 +470,8 @@ QUERIES = {
         bm25_topk, bm25_page2, bm25_count, bm25_multi_query, bm25_multi_query_full, matched_terms, retriever_join, snippet_window, rank_signals, rank_topk, rank_bm25_only, rank_explain, suggestions,
         tfidf_weights, tfidf_cosine, vector_topk, hybrid_topk, content_hash, duplicate_groups, index_outcomes, indexing_counters, assign_doc_ids, upsert_latest, document_links,
         exists_by_hash, point_lookup, scan_first, page_title, page_language, page_body, page_headings, page_links, html_extract_full, url_normalize, url_normalize_exact, domains,
-        link_graph, crawl_bfs, crawl_links, crawl_stats, allowlist, host_guard, robots_gate, robots_exact, same_site, politeness, precision_recall, mrr, ndcg, retrieval_metrics_full, mrr_full, latency_percentiles, rate_limit,
+        search_page, hybrid_page, plain_page, matched_positions, snapshot_round_trip, index_cleaned, vectors_after_changes, ingest_counts, ingest_documents, index_rebuilt, evaluate_methods,
+        link_graph, crawl_bfs, crawl_links, crawl_walk, crawl_stats, allowlist, host_guard, robots_gate, robots_exact, same_site, politeness, precision_recall, mrr, ndcg, retrieval_metrics_full, mrr_full, latency_percentiles, rate_limit,
         stream_windows, stream_sessions,
     )
 }

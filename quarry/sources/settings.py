@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
+from urllib.parse import urlsplit
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,33 @@ class Settings:
         return replace(Settings(), **found, **overrides)
 
 
+@dataclass(frozen=True)
+class CrawlJob:
+    """What a crawl is asked for."""
+
+    seed_urls: tuple[str, ...] = ()
+    allowed_domains: tuple[str, ...] = ()
+    max_depth: int = 2
+    max_pages: int = 100
+    delay_seconds: float = 1.0
+
+    @staticmethod
+    def load(settings: Settings = Settings(), overrides: str | None = None, **arguments: object) -> CrawlJob:
+        """Settings, then arguments that are not None, then the JSON object ``overrides`` (unknown keys are left out); seeds given as an argument
+        win over both. Without an allowlist the hosts of the seeds are allowed."""
+        names = [f.name for f in fields(CrawlJob)]
+        given = {k: v for k, v in arguments.items() if v is not None}
+        if unknown := given.keys() - set(names):
+            raise TypeError(f"unknown arguments: {sorted(unknown)}")
+        found = {k: getattr(settings, k) for k in names} | given
+        found |= {k: v for k, v in json.loads(overrides or "{}").items() if k in names}
+        if given.get("seed_urls"):
+            found["seed_urls"] = given["seed_urls"]
+        if not found["allowed_domains"]:
+            found["allowed_domains"] = sorted({h for u in found["seed_urls"] if (h := (urlsplit(u).hostname or "").lower())})
+        return CrawlJob(**found | {k: tuple(found[k]) for k in ("seed_urls", "allowed_domains")})
+
+
 def page_request(query: str, page: int = 1, limit: int = 10, settings: Settings = Settings(), check_length: bool = True) -> tuple[str, int, int]:
     """(query, limit, offset) of a valid request; ValueError for a blank or overlong query, page under 1, or limit out of range."""
     if page < 1 or not 1 <= limit <= settings.max_page_size:

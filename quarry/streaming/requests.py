@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -75,13 +75,26 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", client: str = "us
     return e.groupBy(F.session_window("ts", gap).alias("w"), client).agg(F.count("*").alias("n")).select(F.col("w.start").alias("session_start"), client, "n")
 
 
-def sync_batch(index_path: str, tokenizer=None):
-    """A foreachBatch function that keeps a saved index in step with a stream of (doc_id, text, url, title) documents."""
+def sync_batch(path: str, tokenizer=None):
+    """A foreachBatch function that logs a stream of documents (doc_id, text, url, title) for the index. Each micro-batch writes the
+    postings of its own documents under its epoch, and then the documents, which make them count; nothing that is there is rewritten,
+    and an epoch that runs again replaces itself. Of several rows of a doc_id in one batch any one counts."""
     from quarry.operators.index import Index
 
     def sync(batch: DataFrame, epoch: int) -> None:
-        old = Index.load(batch.sparkSession, index_path, tokenizer)
-        new = old.remove(batch.select("doc_id")).add(batch.dropDuplicates(["doc_id"])).persisted()
-        new.save(index_path)
+        made = Index.build(batch.dropDuplicates(["doc_id"]), tokenizer).persisted()
+        made.postings.write.mode("overwrite").parquet(f"{path}/postings/epoch={epoch}")
+        made.documents.write.mode("overwrite").parquet(f"{path}/documents/epoch={epoch}")
 
     return sync
+
+
+def synced_index(spark: SparkSession, path: str, tokenizer=None):
+    """The index that the log of ``sync_batch`` stands for: of each document its last epoch."""
+    from quarry.functions.text import Tokenizer
+    from quarry.operators.index import Index
+
+    documents = spark.read.parquet(f"{path}/documents")
+    last = documents.groupBy("doc_id").agg(F.max("epoch").alias("epoch"))
+    postings = spark.read.parquet(f"{path}/postings").join(last, ["doc_id", "epoch"], "left_semi").drop("epoch")
+    return Index(postings.select("term", "doc_id", "tf"), documents.join(last, ["doc_id", "epoch"], "left_semi").drop("epoch"), tokenizer or Tokenizer())

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions import htmldoc, text, urls
+from quarry.functions import htmldoc, robots, text, urls
 
 TOK = text.Tokenizer()
 
@@ -52,16 +52,17 @@ def test_snippet(spark):
 
 def test_normalize():
     n = urls.normalize
-    assert n("/article/2", "https://example.com/section/")["url"] == "https://example.com/article/2"
-    assert n("https://example.com/?b=2&a=1")["url"] == "https://example.com/?a=1&b=2"
-    assert n("HTTP://User@Example.COM:80//a//b;p?utm_source=x&REF=y&q=#frag")["url"] == "http://example.com/a/b"
-    assert n("https://example.com:8443")["url"] == "https://example.com:8443/"
+    assert n("../wool", "https://shop.test/yarn/blue/")["url"] == "https://shop.test/yarn/wool"
+    assert n("//cdn.test/x", "https://shop.test/")["url"] == "https://cdn.test/x"
+    assert n("https://shop.test/s?size=9&colour=red&size=10")["url"] == "https://shop.test/s?colour=red&size=10&size=9"
+    assert n("HTTP://me@Shop.TEST:80//yarn//blue;v=1?utm_medium=mail&Ref=y&empty=#top")["url"] == "http://shop.test/yarn/blue"
+    assert n("https://shop.test:444")["url"] == "https://shop.test:444/"
     for bad in (None, "", "ftp://x/", "mailto:a@b", "https://", "javascript:void(0)"):
         assert n(bad) is None
 
 
 def test_normalize_native_agrees(spark):
-    cases = ["https://example.com/?b=2&a=1", "http://Example.com:80//a//b?utm_source=x#f", "https://e.com:8443/p?x=1&ref=2", "https://e.com", "https://e.com/a;p?c=&d=1", "ftp://x/"]
+    cases = ["https://shop.test/?size=9&colour=red", "http://Shop.test:80//yarn//blue?utm_source=x#f", "https://e.com:8443/p?x=1&ref=2", "https://e.com", "https://e.com/a;p?c=&d=1", "ftp://x/"]
     df = spark.createDataFrame([(c,) for c in cases], "url string")
     got = [r.n for r in df.select(urls.normalize_native(F.col("url")).alias("n")).collect()]
     assert got == [(urls.normalize(c) or {"url": None})["url"] for c in cases]
@@ -77,13 +78,19 @@ def test_safe_host():
     assert urls.is_safe_public_host("Example.com", ["example.COM"]) and not urls.is_safe_public_host("other.com", ["example.com"])
 
 
-def test_robots():
-    r = urls.Robots("QuarryBot")
-    r.load("https://h.com/robots.txt", "User-agent: *\nDisallow: /private\nCrawl-delay: 1.5\n\nUser-agent: bad\nDisallow: /\nCrawl-delay: 9\n")
-    assert r.can_fetch("https://h.com/private/x") == urls.RobotsDecision(False, 1.5)
-    assert r.can_fetch("https://h.com/open").allowed
-    assert r.can_fetch("https://unknown.com/") == urls.RobotsDecision(True, None)
-    assert urls.crawl_delay("User-agent: *\nCrawl-delay: soon", "x") is None
+def test_robots(spark):
+    body = "# file\r\nUser-agent: Other\nUser-agent: Quarry # both\nAllow: /a/open\nDisallow: /a\nCrawl-delay: 9\n\nUser-agent: *\nDisallow: /b?x\nCrawl-delay: 1.5\n"
+    files = [("One.example", body), ("two.example", "User-agent: *\nDisallow:\nCrawl-delay: soon"), ("three.example", None), ("four.example", "Disallow: /x\nUser-agent: nobody\nDisallow: /"), ("five.example", "User-agent: *\nDisallow: *")]
+    files = spark.createDataFrame(files, "host string, body string")
+    own = robots.rules(files, "QuarryBot/2.0").cache()
+    others = robots.rules(files, "Visitor").cache()
+    urls_ = [f"https://{h}.example{p}" for h, p in (("one", "/a/open/1"), ("ONE", "/a/x"), ("one", "/b?x=1"), ("one", ""), ("two", "/a"), ("three", "/a"), ("four", "/x"), ("five", ""), ("none", "/a"))]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls_)], "i int, url string")
+    said = {r.i: (r.allowed, r.crawl_delay) for r in robots.decide(df, own).collect()}
+    assert said == {0: (True, 1.5), 1: (False, 1.5), 2: (True, 1.5), 3: (True, 1.5), 4: (True, None), 5: (True, None), 6: (True, None), 7: (False, None), 8: (True, None)}
+    assert {r.i for r in robots.decide(df, others).where("NOT allowed").collect()} == {2, 7}
+    assert {r.host: r.delay for r in robots.delays(own, 3.0).collect()} == {"one.example": 1.5, "two.example": 3.0, "three.example": 3.0, "four.example": 3.0, "five.example": 3.0}
+    assert robots.decide(df.limit(0), own).count() == 0
 
 
 def test_html():
