@@ -5,8 +5,8 @@ on a ruler with strides of ``budget - history`` (less the system turn): turns th
 that crosses a stride's end is a window of its own, so every window is a turn-aligned span and needs no look at other
 windows. Each window starts with the conversation's system turn, then repeats the last turns before its span that fit
 into ``history`` tokens. The loss mask covers the assistant turns of the span itself: repeated ones are masked out, so every
-assistant text is a target exactly once. Nothing is cut: a turn longer than a stride stands whole in its own window, the only case
-that exceeds the budget.
+assistant text is a target exactly once. Nothing is cut: a turn longer than a stride stands whole in its own window, and a system turn of
+more than half a stride still leaves the others half of one; these are the cases that exceed the budget, the second by no more than the system turn.
 
 Template: ``<|turn|>role<|text|>text<|end|>`` for each turn. Control strings inside roles and texts (``<|``, ``<s>``, ``</s>``,
 ``[INST]``, ``[/INST]``, ``<<SYS>>``, ``<</SYS>>``) get a backslash after their first character; one that already has
@@ -71,7 +71,7 @@ def windows(conversations: DataFrame, budget: int = 2048, history: int = 256) ->
     t = _numbered(conversations)
     system = t.where("seq = 0 AND system").select(F.col("conv_id").alias("_c"), F.col("tokens").alias("system_tokens"), F.struct("head", "body", "tokens").alias("system_turn"))
     joined = t.join(system, t.conv_id.eqNullSafe(F.col("_c")), "left").drop("_c")
-    stride = F.greatest(F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0)), F.lit(1))
+    stride = F.greatest(F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0)), F.lit((budget - history) // 2), F.lit(1))
     placed = joined.withColumn("stride", stride).withColumn("first", F.col("start") - F.coalesce("system_tokens", F.lit(0)))
     is_system = F.col("system_tokens").isNotNull() & (F.col("seq") == 0)
     placed = placed.withColumn("first", F.when(is_system, 0).otherwise(F.col("first"))).withColumn("bin", F.when(is_system, 0).otherwise(F.floor(F.col("first") / F.col("stride"))))

@@ -16,7 +16,7 @@ WITH t AS (
          coalesce(max(CASE WHEN seq = 0 AND role = 'system' THEN chars END) OVER (PARTITION BY conv_id), 0) AS syschars,
          sum(tokens) OVER (PARTITION BY conv_id ORDER BY seq) - tokens AS start FROM n
 ), p AS (
-  SELECT *, greatest(1792 - sys, 1) AS stride, (seq = 0 AND role = 'system') AS is_system, CASE WHEN seq = 0 THEN 0 ELSE start - sys END AS first FROM s
+  SELECT *, greatest(1792 - sys, 896) AS stride, (seq = 0 AND role = 'system') AS is_system, CASE WHEN seq = 0 THEN 0 ELSE start - sys END AS first FROM s
 ), w AS (
   SELECT *, CASE WHEN is_system THEN 0 ELSE 2 * (first // stride) + CASE WHEN (first + tokens - 1) // stride > first // stride THEN 1 ELSE 0 END END AS win FROM p
 ), spans AS (

