@@ -75,15 +75,13 @@ tw AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w
 _COS = """qr AS (SELECT term, (1 + ln(qtf)) * (ln((n + 1) / (df + 1)) + 1) AS qw FROM (VALUES ('ertion', 1), ('heon', 1), ('thea', 2)) AS v(term, qtf) JOIN df USING (term), st),
 cs AS (SELECT doc_id, sum(weight * qw) / (SELECT sqrt(sum(qw * qw)) FROM qr) AS semantic FROM tw JOIN qr USING (term) GROUP BY doc_id)"""
 _BATCH = f"""{_index()},
-bq AS (SELECT item_id AS query_id, unnest(list_slice(terms, 1, 4)) AS term FROM (SELECT item_id, list_transform(list_filter(list_transform(list_filter(list_transform(toks, lambda t, i: struct_pack(t := t, i := i)), lambda x: list_position(toks, x.t) = x.i), lambda x: x.t), lambda x: true), lambda x: x) AS terms
-  FROM (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda t: lower(t)), lambda t: length(t) BETWEEN 2 AND 40 AND t NOT IN ({_STOP})) AS toks FROM benchmark))),
+bq AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, lower(unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'))) AS term FROM benchmark) WHERE length(term) BETWEEN 2 AND 40 AND term NOT IN ({_STOP})),
 bs AS (SELECT query_id, doc_id, round(sum({_SCORE}), 6) AS bm25 FROM bq JOIN post USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
 run AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM bs WHERE bm25 > 0)"""
 _EVAL = f"""{_BATCH},
-rel AS (SELECT query_id, doc_id FROM run WHERE rank <= 40 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-m AS (SELECT query_id, n_rel, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 5), 0) AS d5, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 10), 0) AS d10, min(rank) AS first
-  FROM rel JOIN run USING (query_id, doc_id) JOIN (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY ALL) USING (query_id) GROUP BY query_id, n_rel)"""
-_EDGES = f"""e AS (SELECT DISTINCT * FROM (SELECT {_HOST} AS source, 'p' || (page_id % 97) AS target FROM pages UNION ALL SELECT 'p' || ((page_id * 7 + 3) % 97), {_HOST} FROM pages))"""
+rel AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE trim(b.text) <> ''),
+m AS (SELECT query_id, count(*) AS n_rel, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 5), 0) AS d5, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 10), 0) AS d10, min(rank) AS first
+  FROM rel LEFT JOIN run USING (query_id, doc_id) GROUP BY query_id)"""
 _STORED = f"""{_PAGES}, s AS (SELECT doc_id, url, CASE WHEN doc_id % 4 = 0 THEN title || ' (old)' ELSE title END AS title, sha256({_FP}) AS h FROM pg WHERE doc_id % 2 = 0)"""
 _OUT = f"WITH {_STORED}, o AS (SELECT p.url AS canonical_url, CASE WHEN s.h IS NULL THEN 'inserted' WHEN s.h = p.h AND s.title = p.title THEN 'duplicate' ELSE 'updated' END AS outcome FROM (SELECT *, sha256({_FP}) AS h FROM pg) p LEFT JOIN s ON s.url = p.url)"
 
@@ -113,7 +111,8 @@ SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences, CAST(min(pos
     "index_stats": f"WITH {_index()} SELECT n AS num_documents, (SELECT count(*) FROM df) AS num_terms, (SELECT count(*) FROM post) AS total_postings, (SELECT CAST(sum(doc_length) AS BIGINT) FROM dl) AS total_document_length, round(avgdl, 6) AS avg_document_length FROM st",
     "vocabulary_top": f"WITH {_index()} SELECT term, df FROM df ORDER BY df DESC, term LIMIT 50",
     "remove_document": f"WITH src AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {_index('src')} SELECT n AS num_documents, (SELECT count(*) FROM df) AS num_terms, (SELECT count(*) FROM post) AS total_postings, (SELECT CAST(sum(doc_length) AS BIGINT) FROM dl) AS total_document_length, round(avgdl, 6) AS avg_document_length FROM st",
-    "snapshot_json": f"WITH {_index()} SELECT (SELECT count(*) FROM df) + (SELECT count(*) FROM dl) AS lines",
+    "snapshot_digest": f"""WITH {_index()} SELECT term, CAST(NULL AS BIGINT) AS doc_id, sha256('{{"term":"' || term || '","postings":[' || string_agg('{{"doc_id":' || doc_id || ',"tf":' || tf || '}}', ',' ORDER BY doc_id) || ']}}') AS line_sha256 FROM post GROUP BY term, doc_id // 65536
+UNION ALL SELECT NULL, doc_id, sha256('{{"doc_id":' || doc_id || ',"url":"","title":"","doc_length":' || doc_length || ',"title_length":0}}') FROM dl""",
     "bm25_topk": f"{_BASE} SELECT doc_id, round(bm25, 6) AS bm25, matched FROM hits ORDER BY hits.bm25 DESC, doc_id LIMIT 10",
     "bm25_page2": f"{_BASE} SELECT doc_id, round(bm25, 6) AS bm25 FROM hits ORDER BY hits.bm25 DESC, doc_id LIMIT 10 OFFSET 10",
     "bm25_count": f"{_BASE} SELECT count(*) AS total FROM hits",
@@ -151,7 +150,7 @@ SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences, CAST(min(pos
     "url_normalize_exact": f"SELECT page_id, {_normal('url')} AS normalized, {_HOST} AS host, {_HOST} AS netloc FROM pages",
     "domains": "SELECT lower(regexp_extract(url, '://([^/]*)', 1)) AS host, count(*) AS n_pages FROM pages GROUP BY 1",
     "link_graph": f"WITH {_LINKS} SELECT DISTINCT {_normal('url')} AS source, target FROM lf",
-    "crawl_bfs": f"WITH RECURSIVE {_EDGES}, r(url, depth) AS (SELECT 'p5', 0 UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.source = r.url WHERE r.depth < 4) SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY url",
+    "crawl_bfs": f"WITH RECURSIVE {_LINKS}, e AS (SELECT DISTINCT {_normal('url')} AS source, target FROM lf), r(url, depth) AS (SELECT {_normal('url')}, 0 FROM pages WHERE page_id < 20 UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.source = r.url WHERE r.depth < 4) SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM r WHERE url IS NOT NULL GROUP BY url",
     "crawl_stats": f"SELECT CASE WHEN page_id % 11 = 0 THEN 'failed' WHEN strlen(html) > 3000 THEN 'too_large' WHEN html = '' AND {_TITLE} = '' THEN 'skipped' ELSE 'fetched' END AS outcome, count(*) AS n FROM pages GROUP BY 1",
     "allowlist": f"SELECT page_id, {_HOST} AS host FROM pages WHERE {_HOST} IN (SELECT {_HOST} FROM pages WHERE page_id < 20)",
     "host_guard": f"""WITH h AS (SELECT {_HOST} AS host FROM pages UNION SELECT (user_id % 256) || '.' || (event_id % 256) || '.0.1' FROM events UNION SELECT unnest(['localhost', 'a.local', 'b.internal', '8.8.8.8', '192.168.1.1', '169.254.169.254', ''])),
@@ -162,7 +161,7 @@ SELECT host, host = '' OR host IN ('localhost') OR ends_with(host, '.local') OR
     "same_site": f"SELECT p.page_id, {_HOST.replace('url', 'p.url')} = {_HOST.replace('url', 'q.url')} AND lower(split_part(p.url, ':', 1)) = lower(split_part(q.url, ':', 1)) AS same FROM pages p JOIN pages q ON q.page_id = p.page_id + 1",
     "politeness": "SELECT event_id, round(greatest(0, 600.0::DOUBLE - coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts)) / 1e6::DOUBLE, 600)), 3) AS wait FROM events",
     "precision_recall": f"WITH {_EVAL} SELECT query_id, round(h5 / 5, 6) AS p_at_5, round(h10 / 10, 6) AS p_at_10, round(h5 / n_rel, 6) AS r_at_5, round(h10 / n_rel, 6) AS r_at_10 FROM m",
-    "mrr": f"WITH {_EVAL} SELECT round(avg(1 / first), 6) AS mrr FROM m",
+    "mrr": f"WITH {_EVAL} SELECT round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM m",
     "ndcg": f"WITH {_EVAL}, i AS (SELECT *, list_sum(list_transform(range(1, least(5, n_rel) + 1), lambda r: 1 / log2(r + 1))) AS i5, list_sum(list_transform(range(1, least(10, n_rel) + 1), lambda r: 1 / log2(r + 1))) AS i10 FROM m) SELECT query_id, round(d5 / i5, 6) AS ndcg_at_5, round(d10 / i10, 6) AS ndcg_at_10 FROM i",
     "latency_percentiles": "WITH v AS (SELECT list_sort(list(value)) AS v FROM events) SELECT p::DOUBLE AS p, v[CAST(floor(p::DOUBLE * (len(v) - 1)) AS BIGINT) + 1] AS value FROM v, (VALUES (0.5), (0.95), (0.99)) AS t(p)",
     "stream_windows": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",

@@ -86,10 +86,6 @@ def remove_document(spark, d):
     return i.remove(gone).stats().withColumn("avg_document_length", F.round("avg_document_length", 6))
 
 
-def snapshot_json(spark, d):
-    return _index(spark, d).to_json().agg(F.count("*").alias("lines"))
-
-
 def snapshot_digest(spark, d):
     """A digest of each JSON line by its term or document, so that every line is built."""
     key = lambda c: F.get_json_object("value", f"$.{c}")
@@ -111,29 +107,18 @@ def bm25_count(spark, d):
 
 
 def _benchmark_queries(spark, d):
-    words = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(F.array_distinct(TOK.tokens("text")), 1, 4)).alias("term"))
-    return words
+    """Every distinct token of a benchmark text is a term of its query."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(TOK.tokens("text"))).alias("term"))
 
 
 def _batch(spark, d):
-    scored = search.BM25().score_many(_index(spark, d), _benchmark_queries(spark, d))
-    return scored.withColumn("bm25", F.round("bm25", 6))
+    return search.BM25().score_many(_index(spark, d), _benchmark_queries(spark, d)).withColumn("bm25", F.round("bm25", 6))
 
 
 def bm25_multi_query(spark, d):
     return evaluate.ranked(_batch(spark, d), "bm25").where("rank <= 10").select("query_id", "doc_id", "rank")
 
 
-def _full_batch(spark, d):
-    """Every distinct token of a benchmark text is a term of its query; no SQL, DuckDB has it for the first four tokens only."""
-    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(TOK.tokens("text"))).alias("term"))
-    return search.BM25().score_many(_index(spark, d), terms).withColumn("bm25", F.round("bm25", 6))
-
-
-def bm25_multi_query_full(spark, d):
-    return evaluate.ranked(_full_batch(spark, d), "bm25").where("rank <= 10").select("query_id", "doc_id", "rank")
-
-
 def matched_terms(spark, d):
     return search.BM25().score(_index(spark, d), QUERY).select(F.size("matched_terms").alias("n_matched")).groupBy("n_matched").agg(F.count("*").alias("n_docs"))
 
@@ -343,17 +328,7 @@ def link_graph(spark, d):
     return p.select(urls.normalize_url(F.col("url"), F.lit(None).cast("string"))["url"].alias("source"), "target").distinct()
 
 
-def _site_edges(spark, d):
-    """Pages of a site link to the site's paths; a path's pages are those of the hosts that start with the path's word."""
-    p = table(spark, d, "pages").select("page_id", urls.host_of(F.col("url")).alias("host"))
-    return p.select(F.col("host").alias("source"), F.concat(F.lit("p"), F.col("page_id") % 97).alias("target")).unionByName(p.select(F.concat(F.lit("p"), (F.col("page_id") * 7 + 3) % 97).alias("source"), F.col("host").alias("target")))
-
-
 def crawl_bfs(spark, d):
-    return crawl.bfs(_site_edges(spark, d), spark.range(1).select(F.lit("p5").alias("url")), 4).select("url", F.col("depth").cast("long").alias("depth"))
-
-
-def crawl_links(spark, d):
     """The walk over the links of the pages, from the first 20."""
     seeds = table(spark, d, "pages").where("page_id < 20").select(urls.normalize_url(F.col("url"), F.lit(None).cast("string"))["url"].alias("url"))
     return crawl.bfs(link_graph(spark, d), seeds.where("url IS NOT NULL"), 4).select("url", F.col("depth").cast("long").alias("depth"))
@@ -414,10 +389,10 @@ def politeness(spark, d):
 
 
 def _metrics(spark, d):
-    labels = table(spark, d, "labels").where("quality = 1").select("doc_id")
-    batch = cut(evaluate.ranked(_batch(spark, d), "bm25"))
-    qrels = batch.where("rank <= 40").join(labels, "doc_id", "left_semi").select("query_id", "doc_id")  # judged among the first 40
-    return evaluate.per_query(batch, qrels)
+    """Relevant to a benchmark text are the documents that hold it, wherever the run ranks them."""
+    items = table(spark, d, "benchmark").where("trim(text) <> ''").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    qrels = _docs(spark, d).join(F.broadcast(items), F.contains("text", "passage")).select("query_id", "doc_id")
+    return evaluate.per_query(cut(evaluate.ranked(_batch(spark, d), "bm25")), cut(qrels))
 
 
 def precision_recall(spark, d):
@@ -432,21 +407,6 @@ def ndcg(spark, d):
     return _metrics(spark, d).select("query_id", _r("ndcg_at_5"), _r("ndcg_at_10"))
 
 
-def _full_metrics(spark, d):
-    """Relevant to a benchmark text are the documents that hold it, wherever the run ranks them."""
-    items = table(spark, d, "benchmark").where("trim(text) <> ''").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    qrels = _docs(spark, d).join(F.broadcast(items), F.contains("text", "passage")).select("query_id", "doc_id")
-    return evaluate.per_query(cut(evaluate.ranked(_full_batch(spark, d), "bm25")), cut(qrels))
-
-
-def retrieval_metrics_full(spark, d):
-    return _full_metrics(spark, d).select("query_id", *[_r(c) for c in ("p_at_5", "p_at_10", "r_at_5", "r_at_10", "ndcg_at_5", "ndcg_at_10", "rr")])
-
-
-def mrr_full(spark, d):
-    return evaluate.macro(_full_metrics(spark, d).select("query_id", "rr")).select(_r("mrr"))
-
-
 def latency_percentiles(spark, d):
     return evaluate.percentiles(table(spark, d, "events"), "value")
 
@@ -466,12 +426,12 @@ def stream_sessions(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_counts, token_positions, stopword_filter, clean_text, postings, postings_positions, term_df, doc_lengths, index_stats, vocabulary_top, remove_document, snapshot_json, snapshot_digest,
-        bm25_topk, bm25_page2, bm25_count, bm25_multi_query, bm25_multi_query_full, matched_terms, retriever_join, snippet_window, rank_signals, rank_topk, rank_bm25_only, rank_explain, suggestions,
+        tokenize_counts, token_positions, stopword_filter, clean_text, postings, postings_positions, term_df, doc_lengths, index_stats, vocabulary_top, remove_document, snapshot_digest,
+        bm25_topk, bm25_page2, bm25_count, bm25_multi_query, matched_terms, retriever_join, snippet_window, rank_signals, rank_topk, rank_bm25_only, rank_explain, suggestions,
         tfidf_weights, tfidf_cosine, vector_topk, hybrid_topk, content_hash, duplicate_groups, index_outcomes, indexing_counters, assign_doc_ids, upsert_latest, document_links,
         exists_by_hash, point_lookup, scan_first, page_title, page_language, page_body, page_headings, page_links, html_extract_full, url_normalize, url_normalize_exact, domains,
         search_page, hybrid_page, plain_page, matched_positions, snapshot_round_trip, index_cleaned, vectors_after_changes, ingest_counts, ingest_documents, index_rebuilt, evaluate_methods,
-        link_graph, crawl_bfs, crawl_links, crawl_walk, crawl_stats, allowlist, host_guard, robots_gate, robots_exact, same_site, politeness, precision_recall, mrr, ndcg, retrieval_metrics_full, mrr_full, latency_percentiles, rate_limit,
+        link_graph, crawl_bfs, crawl_walk, crawl_stats, allowlist, host_guard, robots_gate, robots_exact, same_site, politeness, precision_recall, mrr, ndcg, latency_percentiles, rate_limit,
         stream_windows, stream_sessions,
     )
 }

@@ -174,12 +174,12 @@ def test_full_queries_and_judgements_without_ranks(spark, tmp_path):
     docs = [(1, "echo"), (2, passage + " filler" * 400)] + [(k, "alpha bravo charlie delta echo".replace(" ", " x ")) for k in range(3, 53)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(7, passage), (8, "echo"), (9, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    run = QUERIES["bm25_multi_query_full"](spark, str(tmp_path)).collect()
+    run = QUERIES["bm25_multi_query"](spark, str(tmp_path)).collect()
     assert {r.query_id for r in run} == {7, 8} and [r.doc_id for r in run if r.query_id == 8 and r.rank == 1] == [1]
-    rows = {r.query_id: r for r in QUERIES["retrieval_metrics_full"](spark, str(tmp_path)).collect()}
-    assert set(rows) == {7, 8} and rows[7].r_at_10 == rows[7].ndcg_at_10 == 0.0 and 0 < rows[7].rr < 1 / 40
-    assert rows[8].rr == 1.0 and rows[8].p_at_10 == 1.0 and rows[8].r_at_10 == pytest.approx(10 / 52, abs=1e-6)
-    assert QUERIES["mrr_full"](spark, str(tmp_path)).first().mrr == pytest.approx((rows[7].rr + 1) / 2, abs=1e-5)
+    rows = {r.query_id: r for r in QUERIES["precision_recall"](spark, str(tmp_path)).join(QUERIES["ndcg"](spark, str(tmp_path)), "query_id").collect()}
+    assert set(rows) == {7, 8} and rows[7].r_at_10 == rows[7].ndcg_at_10 == 0.0
+    assert rows[8].p_at_10 == rows[8].ndcg_at_10 == 1.0 and rows[8].r_at_10 == pytest.approx(10 / 52, abs=1e-6)
+    assert 0.5 < QUERIES["mrr"](spark, str(tmp_path)).first().mrr < 0.5 + 1 / 80
 
 
 def test_snapshot_lines_and_crawled_links(spark, tmp_path):
@@ -194,4 +194,4 @@ def test_snapshot_lines_and_crawled_links(spark, tmp_path):
     assert sorted((r.term or "", r.doc_id or 0) for r in rows) == [("", 1), ("alpha", 0), ("bravo", 0)]
     line = '{"term":"alpha","postings":[{"doc_id":1,"tf":2}]}'
     assert [r.line_sha256 for r in rows if r.term == "alpha"] == [hashlib.sha256(line.encode()).hexdigest()]
-    assert {r.url: r.depth for r in QUERIES["crawl_links"](spark, str(tmp_path)).collect()} == {"https://e.com/a": 0, "https://e.com/b": 1, "https://e.com/c": 2}
+    assert {r.url: r.depth for r in QUERIES["crawl_bfs"](spark, str(tmp_path)).collect()} == {"https://e.com/a": 0, "https://e.com/b": 1, "https://e.com/c": 2}
