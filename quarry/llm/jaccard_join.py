@@ -42,6 +42,8 @@ from quarry.session import cut, join_checked, shuffle_partitions
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Shingles that a task joins at a time, sketches that a task compares at a time, pivots of a region that exceeds a task.
 REGION, SKETCHES, CENTRES = 1 << 21, 4096, 8
+#: Bytes of sets that leave a worker at a time.
+PIECE = 4 << 20
 #: Sets of a block inside a region, pivots of a region, shingles of a slice of the matrix product.
 ROWS, PIVOTS, SLICE = 256, 8, 1 << 14
 
@@ -406,12 +408,15 @@ def _with_sets(rows: DataFrame, tasks: DataFrame, words: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known: dict[int, bytes] = {}  # a class that goes to several tasks is shingled once
-            out = []
-            for c, t in zip(b.column(names.index("cls")).to_pylist(), b.column(len(names))):
+            out, lo, held = [], 0, 0
+            for k, (c, t) in enumerate(zip(b.column(names.index("cls")).to_pylist(), b.column(len(names))), 1):
                 if c not in known:
                     known = {c: shingles(t.as_py(), words).tobytes()}
                 out.append(known[c])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.binary())], [*names, "members"])
+                held += len(known[c])
+                if held >= PIECE or k == b.num_rows:  # sets outgrow texts: a batch leaves in pieces
+                    yield pa.RecordBatch.from_arrays([*(x.slice(lo, k - lo) for x in b.columns[: len(names)]), pa.array(out, pa.binary())], [*names, "members"])
+                    out, lo, held = [], k, 0
 
     joined = join_checked(rows.select("rid", "text"), tasks, ["rid"]).select(*names, "text")
     return joined.mapInArrow(sets, ", ".join(f"{c} {k}" for c, k in tasks.select(*names).dtypes) + ", members binary")
@@ -430,7 +435,7 @@ def _joined(rows: DataFrame, tasks: DataFrame, words: int, percent: int) -> Data
             ids = np.array(cls, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.array(ids[root[edge]])], ["a", "b"])
 
-        for b in batches:
+        for b in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
             for region, i, j, c, s, x in zip(*(b.column(k).to_pylist() for k in range(6))):
                 if (region, i, j) != now:
                     if len(cls) > 1:
