@@ -3,9 +3,10 @@
 A text's set: its distinct ``words``-word shingles as 64-bit hashes (fewer words: the whole sequence as one). Equal sets are one class; the join
 is over classes.
 
-1. Cells. Sets within the threshold differ in few shingles, so if the shingles are dealt by hash into more parts than that, some part
-   is equal in both. A cell is all classes that agree in one part (and size band); its first class in hash order is its
-   pivot. Classes that share no cell with another have no link and take no further part.
+1. Cells. Sets within the threshold have a shingle in common among the rarest few of each, whatever order of rarity all sets share (prefix
+   filter). Rarity is counted over all classes in a fixed number of hash buckets, so a passage of many documents is seldom among a set's
+   rarest shingles. A cell is all classes that have one shingle there; its first class in hash order is its pivot. Classes that
+   share no cell with another have no link and take no further part.
 2. Neighbourhoods. Each class has a parity sketch, about one bit a shingle: the bits in which two sketches differ are never more than
    the shingles in which their sets differ, so a pair whose sketches differ too much has no link. Sketches, not sets, travel to the cells'
    pivots; the pairs that the sketches allow there connect classes to neighbourhoods. Every link lies inside one neighbourhood.
@@ -27,6 +28,7 @@ ignored; texts of any length are taken whole; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 REGION, SKETCHES, CENTRES = 1 << 21, 4096, 8
 #: Bytes of sets that leave a worker at a time.
 PIECE = 4 << 20
+#: Binary logarithm of the hash buckets in which shingles are counted (16 MB), buckets of a row of counts.
+BUCKETS, SLOT = 22, 1 << 14
 #: Sets of a block inside a region, pivots of a region, shingles of a slice of the matrix product.
 ROWS, PIVOTS, SLICE = 256, 8, 1 << 14
 
@@ -58,36 +62,16 @@ def _class(s: np.ndarray) -> int:
     return int(np.int64(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))) if len(s) else 0
 
 
-def bands(percent: int, top: int = 1 << 40) -> np.ndarray:
-    """Lower ends of the size bands: growth by 1.4, more than any pair within the threshold can differ by."""
-    out = [1]
-    while out[-1] < top:
-        out.append(max(out[-1] + 1, int(out[-1] * max(1.4, 100 / percent + 0.05))))
-    return np.array(out, np.int64)
+def bucket_of(s: np.ndarray) -> np.ndarray:
+    return (s * _M2 >> np.uint64(64 - BUCKETS)).astype(np.int64)
 
 
-def signatures(s: np.ndarray, percent: int, lows: np.ndarray) -> np.ndarray:
-    """Hashes of the set's cells."""
+def rarest(s: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+    """The shingles of the set's cells: so many of the rarest that two sets within the threshold have one in common."""
     n = len(s)
-    out = []
-    mixed = s * _M1
-    mixed ^= mixed >> np.uint64(29)
-    for band in range(int(np.searchsorted(lows, n, "right")) - 1, int(np.searchsorted(lows, n * 100 // percent, "right"))):
-        differ = 2 * (int(lows[band + 1]) - 1) * (100 - percent) // (100 + percent)  # most that two sets up to the band's end can
-        if not differ:
-            continue  # only equal sets
-        parts = differ + differ // 32 + 2
-        part = ((mixed >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1])))
-        sums = np.add.reduceat((mixed * _M2)[order], starts)
-        used = part[order][starts]
-        if len(used) <= differ:  # so many parts are empty that these, too, are needed for an equal one
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), used)
-            used, sums = np.concatenate((used, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
-        sig = (sums + used * _M1 + np.uint64(band * 7919 + 1)) * _M2
-        out.append(sig ^ (sig >> np.uint64(31)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    if 100 * n < percent * (n + 1):
+        return s[:0]  # only equal sets
+    return s[np.argsort(counts[bucket_of(s)], kind="stable")[: n + percent * n // -100 + 1]]
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -133,23 +117,57 @@ class Sketches:
 
 
 def sets_table(rows: DataFrame, words: int) -> DataFrame:
-    """(doc_id, rid, n, cls, sketch): the size of each document's set, its class and its sketch."""
+    """(doc_id, rid, n, cls, sketch) of each document's set, its class and its sketch; rows with a ``slot`` hold a task's
+    counts of shingles instead: ``sketch`` is that part of its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(1 << BUCKETS, np.uint32), set()
+        names = ["doc_id", "rid", "n", "cls", "sketch", "slot"]
         for b in batches:
             sets = [shingles(t.as_py(), words) for t in b.column(2)]
-            own = [pa.array([f(s) for s in sets], kind) for f, kind in ((len, pa.int64()), (_class, pa.int64()), (sketch, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own], ["doc_id", "rid", "n", "cls", "sketch"])
+            classes = [_class(s) for s in sets]
+            for c, s in zip(classes, sets):
+                if c not in seen:  # copies that one task meets count once
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(c)
+                    np.add.at(counts, bucket_of(s), 1)
+            own = [pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own, pa.nulls(len(sets), pa.int32())], names)
+        for k, part in enumerate(counts.reshape(-1, SLOT)):
+            if part.any():
+                packed = zlib.compress(part.astype(np.min_scalar_type(part.max())).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([packed], pa.binary()), pa.array([k], pa.int32())], names)
+
+    return rows.mapInArrow(run, "doc_id long, rid long, n long, cls long, sketch binary, slot int")
+
+
+def shingle_counts(table: DataFrame) -> np.ndarray:
+    """In how many classes the shingles of a hash bucket occur, at least; of a fixed size whatever the input's is."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                raw = zlib.decompress(x.as_py())
+                part = np.frombuffer(raw, f"u{len(raw) // SLOT}")
+                sums[k] = sums[k] + part if k in sums else part.astype(np.uint64)
+        for k, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slot", "counts"])
 
-    return rows.mapInArrow(run, "doc_id long, rid long, n long, cls long, sketch binary")
+    out = np.zeros((1 << BUCKETS) // SLOT * SLOT, np.uint64).reshape(-1, SLOT)
+    parts = table.where("slot IS NOT NULL").select("slot", "sketch")
+    for k, part in parts.repartition(shuffle_partitions(table.sparkSession), "slot").mapInArrow(add, "slot int, counts binary").collect():
+        out[k] = np.frombuffer(part, np.uint64)
+    return np.minimum(out.ravel(), 0xFFFFFFFF).astype(np.uint32)
 
 
-def shared_cells(rows: DataFrame, words: int, percent: int) -> DataFrame:
+def shared_cells(rows: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
     """(pivot, cls): the regions that each class belongs to, for cells of two classes or more; pivots are in their own."""
     buckets = shuffle_partitions(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows = bands(percent)
         sent: set[int] = set()  # copies that one task meets are sent once
         for b in batches:
             sigs, of = [], []
@@ -160,12 +178,12 @@ def shared_cells(rows: DataFrame, words: int, percent: int) -> DataFrame:
                     if len(sent) > 500_000:
                         sent.clear()
                     sent.add(c)
-                    sigs.append(signatures(s, percent, lows))
+                    sigs.append(rarest(s, percent, shared.value))
                     of.append(c)
             if not sigs:
                 continue
             cls = np.repeat(np.array(of, np.int64), [len(x) for x in sigs])
-            sig = np.concatenate(sigs)
+            sig = np.concatenate(sigs) * _M1
             to = (sig >> np.uint64(32)) % np.uint64(buckets)
             order = np.argsort(to, kind="stable")
             edges = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -520,9 +538,9 @@ def region_edges(rows: DataFrame, member: DataFrame, words: int, percent: int) -
     return edges
 
 
-def links(rows: DataFrame, table: DataFrame, words: int, percent: int) -> DataFrame:
+def links(rows: DataFrame, table: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
     """(a, b): edges between classes whose components are those of all links."""
-    pairs = cut(shared_cells(rows, words, percent))
+    pairs = cut(shared_cells(rows, words, percent, counts))
     member = pairs.unionAll(pairs.select("pivot", "pivot").distinct())
     wanted = member.select("cls").distinct()
     known = table.where("n > 0").groupBy("cls").agg(F.min(F.struct("rid", "n", "sketch")).alias("r"))
@@ -536,8 +554,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if not 50 <= percent <= 100 or words < 1:
         raise ValueError("percent must be from 50 to 100, words at least 1")
     rows = with_row_ids(docs)
-    table = cut(sets_table(rows, words))
-    roots = cut(components(links(rows, table, words, percent)).withColumnRenamed("node", "cls"))
+    made = cut(sets_table(rows, words))
+    table = made.where("slot IS NULL").drop("slot")
+    roots = cut(components(links(rows, table, shingle_counts(made), words, percent)).withColumnRenamed("node", "cls"))
     rooted = join_checked(table.drop("sketch"), roots, ["cls"], "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select("doc_id", "rid", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "root")

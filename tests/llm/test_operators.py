@@ -197,6 +197,19 @@ def test_jaccard_sketches_never_hide_a_link():
     assert linked.any() and allowed[linked].all() and allowed.mean() < 0.5
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_linked_sets_share_one_of_their_rarest_shingles(percent):
+    rng = np.random.default_rng(percent)
+    counts = rng.integers(0, 4, 1 << jaccard_join.BUCKETS).astype(np.uint32)  # many ties
+    for _ in range(2000):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 60), dtype=np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.uniform(0.7, 1)], rng.integers(0, 1 << 63, rng.integers(0, 6), dtype=np.uint64))))
+        inter = len(np.intersect1d(a, b))
+        if 0 < inter < max(len(a), len(b)) and 100 * inter >= percent * (len(a) + len(b) - inter):
+            assert len(np.intersect1d(jaccard_join.rarest(a, percent, counts), jaccard_join.rarest(b, percent, counts)))
+
+
+
 def test_jaccard_large_cells_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SKETCHES", 7)
     rows = jaccard_rows(6)
