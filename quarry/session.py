@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size is below this many bytes.
 BROADCAST_LIMIT = 48 << 20
+#: Environment of the Python workers, which outlive their tasks: freed memory goes back to the system instead of staying with an idle worker.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
 
 
 def local_session(app: str = "quarry", cores: int | str = 8, partitions: int = 8, **conf: str) -> SparkSession:
@@ -34,11 +36,13 @@ def local_session(app: str = "quarry", cores: int | str = 8, partitions: int = 8
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers that share this file system import the package, wherever the driver was started."""
+    """Let Python workers that share this file system import the package, wherever the driver was started, and give memory back."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+    for k, v in WORKER_MEMORY.items():
+        env.setdefault(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
