@@ -26,7 +26,9 @@ from quarry.session import cut, join_checked, shuffle_partitions
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Symbols handled at a time; longer documents are taken in pieces that overlap by a window.
-PIECE = 1 << 21
+PIECE = 1 << 20
+#: Bytes of texts whose symbols are held at a time, bytes that segments of a batch may take before they leave, and what a segment and a place of it take besides its symbols.
+TEXTS, HELD, SEGMENT, PLACE = 6 << 20, 64 << 20, 500, 100
 #: Symbols of a collection; a larger key group is a collection of its own.
 COLLECTION = 1 << 20
 
@@ -185,12 +187,22 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("rid"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def in_parts(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows with about TEXTS bytes in a text column, a row at least."""
+    ends = np.cumsum([len(x) if (x := v.as_buffer()) is not None else 0 for v in b.column(column)])
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TEXTS, "right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
 def candidates(docs: DataFrame, reader: Reader) -> DataFrame:
     """(rid, runs): for each document the numbers of its runs whose key occurs twice or more, as packed 32-bit integers."""
     buckets = shuffle_partitions(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in in_parts(whole, 1)):
             rids = b.column(0).to_numpy()
             documents = [reader.codes(t.as_py() or "")[0] for t in b.column(1)]
             number = np.zeros(len(rids), np.int64)
@@ -258,31 +270,36 @@ def segments(docs: DataFrame, found: DataFrame, reader: Reader) -> DataFrame:
     those that share the content within a batch."""
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [x if x is not None else -(2**63) for x in b.column(0).to_pylist()]
-            rids, wanted = b.column(1).to_numpy(), [np.unique(np.frombuffer(x.as_py(), np.uint32)) for x in b.column(3)]
-            views = [reader.codes(t.as_py() or "") for t in b.column(2)]
+        for whole in batches:
             merged: dict[tuple[int, int, bytes], list[list[int]]] = {}
-            number = [0] * len(ids)
             size = 0
-            for r in runs([c for c, _ in views], reader.length, reader.gram):
-                firsts = np.flatnonzero(np.concatenate(([True], r.row[1:] != r.row[:-1])))
-                for lo, hi in zip(firsts, np.append(firsts[1:], len(r.row))):
-                    row = int(r.row[lo])
-                    w = wanted[row]
-                    mine = w[np.searchsorted(w, number[row]) : np.searchsorted(w, number[row] + hi - lo)].astype(np.int64) - number[row] + lo
-                    number[row] += int(hi - lo)
-                    for i in mine.tolist():
-                        first = int(r.first[i])
-                        content = reader.content(views[row][1], first, int(r.last[i]) + reader.length)
-                        at = merged.setdefault((int(r.key[i].astype(np.int64)), int(r.anchor[i]) - first, content), [[], [], []])
-                        at[0].append(ids[row])
-                        at[1].append(int(rids[row]))
-                        at[2].append(first)
-                        size += len(content)
-                if size > 64 << 20:
-                    yield packed(merged)
-                    merged, size = {}, 0
+            for b in in_parts(whole, 2):
+                ids = [x if x is not None else -(2**63) for x in b.column(0).to_pylist()]
+                rids, wanted = b.column(1).to_numpy(), [np.unique(np.frombuffer(x.as_py(), np.uint32)) for x in b.column(3)]
+                views = [reader.codes(t.as_py() or "") for t in b.column(2)]
+                number = [0] * len(ids)
+                for r in runs([c for c, _ in views], reader.length, reader.gram):
+                    firsts = np.flatnonzero(np.concatenate(([True], r.row[1:] != r.row[:-1])))
+                    for lo, hi in zip(firsts, np.append(firsts[1:], len(r.row))):
+                        row = int(r.row[lo])
+                        w = wanted[row]
+                        mine = w[np.searchsorted(w, number[row]) : np.searchsorted(w, number[row] + hi - lo)].astype(np.int64) - number[row] + lo
+                        number[row] += int(hi - lo)
+                        for i in mine.tolist():
+                            first = int(r.first[i])
+                            content = reader.content(views[row][1], first, int(r.last[i]) + reader.length)
+                            of = (int(r.key[i].astype(np.int64)), int(r.anchor[i]) - first, content)
+                            at = merged.get(of)
+                            if at is None:
+                                at = merged[of] = [[], [], []]
+                                size += len(content) + SEGMENT
+                            at[0].append(ids[row])
+                            at[1].append(int(rids[row]))
+                            at[2].append(first)
+                            size += PLACE
+                    if size > HELD:
+                        yield packed(merged)
+                        merged, size = {}, 0
             if merged:
                 yield packed(merged)
 

@@ -6,6 +6,7 @@ import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -334,6 +335,17 @@ def test_runs_of_long_texts_do_not_depend_on_their_pieces(monkeypatch):
         assert windows() == whole
 
 
+def test_batches_fall_into_parts_without_loss(monkeypatch):
+    texts = ["a" * 5, None, "", "é" * 9, "b" * 100, "", "c", "d", None]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["k", "text"])
+    for bytes_ in (1, 2, 23, 10**6):
+        monkeypatch.setattr(anchors, "TEXTS", bytes_)
+        parts = [p.column(1).to_pylist() for p in anchors.in_parts(b, 1)]
+        assert [t for p in parts for t in p] == texts
+        assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= bytes_ for p in parts)
+    assert not list(anchors.in_parts(b.slice(0, 0), 1))
+
+
 def test_substrings_of_a_text_longer_than_a_piece(spark):
     rng = random.Random(5)
     long = " ".join(f"w{rng.randrange(10**7)}" for _ in range(300_000))
