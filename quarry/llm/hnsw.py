@@ -238,7 +238,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, ef: int = EF) -> D
                         out[2].append(d)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    together = held.unionAll(sent).repartition(4 * shards * parts, "shard", "part")  # few keys: more partitions, so that they seldom meet.sortWithinPartitions("shard", "length", "part", "kind")
+    # few keys: more partitions, so that they seldom meet; a shuffle brings rows in any order, the sort puts each graph right before its own queries
+    together = held.unionAll(sent).repartition(4 * shards * parts, "shard", "part").sortWithinPartitions("shard", "length", "part", "kind")
     hits = together.mapInArrow(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return hits.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -417,6 +417,20 @@ def test_hnsw(spark):
     assert hnsw.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_hnsw_every_query_meets_every_shard(spark, monkeypatch):
+    """Several shards, lengths and parts in one task: each query block finds its own graph."""
+    monkeypatch.setattr(hnsw, "SHARD", 125)
+    monkeypatch.setattr(hnsw, "BLOCK", 10)
+    monkeypatch.setattr(hnsw, "BLOCKS", 2)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=3 if i % 40 < 10 else 12).tolist()) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in hnsw.search(df, F.col("vec_id") % 20 == 0, 10).collect()]
+    want = hnsw.brute_force(rows, set(range(0, 1000, 20)), 10)
+    assert sorted(g[:2] for g in got) == sorted(w[:2] for w in want)
+    assert len(set(got) & set(want)) >= 0.99 * len(want)
+
+
 # 8. mixing
 
 
