@@ -4,8 +4,9 @@ Vectors are dealt to shards of about ``SHARD`` by a hash of their values, so equ
 once, with the smallest ids that have it (no more than a search can return, so no result is lost to copies). A shard's graph is a few flat arrays: the
 vectors, each node's level, and for each level one row of neighbour numbers a node, padded with -1. Neighbours are chosen by the
 diversity rule among the nearest nodes of the level (found by distances to the whole level of the shard, in blocks, instead of by
-searches of a growing graph), links go both ways, and searches descend greedily through the upper levels and
-then widen to ``EF`` candidates on the lowest. A graph works in double precision on vectors moved by the shard's median and scaled, so
+searches of a growing graph), links go both ways, and searches descend through the upper levels by
+``WAYS`` nodes and then widen to ``EF`` candidates or more on the lowest. How many a graph needs is measured when it is built: searches for a sample of its
+own vectors, each left out of its own search, are held against brute force over the shard, and the candidates double until ``RECALL`` is met. A graph works in double precision on vectors moved by the shard's median and scaled, so
 neither a common offset nor the magnitude of the vectors matters.
 
 Queries travel in blocks to every shard; a task loads a shard's graph once and streams its blocks past it. Each shard returns its best
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 
 from quarry.session import cut
 
-#: Vectors of a shard at most, and bytes of their components; neighbours of a node (twice as many on the lowest level), candidates of a search.
-SHARD, SHARD_BYTES, LINKS, EF = 16_384, 32 << 20, 12, 96
+#: Vectors of a shard at most, and bytes of their components; neighbours of a node (twice as many on the lowest level), candidates of a search at least.
+SHARD, SHARD_BYTES, LINKS, EF = 16_384, 32 << 20, 16, 96
 #: Queries of a block, and blocks that a task streams past one loaded graph.
 BLOCK, BLOCKS = 64, 64
+#: Recall that a graph must show on its sample, vectors of the sample, nodes that a search opens at once, nodes of an upper level it goes down from.
+RECALL, PROBES, WIDE, WAYS = 0.95, 64, 8, 32
 
 
 class Graph:
@@ -106,38 +109,54 @@ class Graph:
         keep += [i for i in range(len(cand)) if i not in taken][: most - len(keep)]
         return cand[keep].tolist()
 
+    def enough(self, k: int, ef: int) -> int:
+        """``ef``, doubled until searches for the ``k`` nearest of a spread sample of rows meet ``RECALL`` against brute force."""
+        rows = np.setdiff1d(np.flatnonzero(self.level == 0), [self.entry])  # the way down never starts at the row itself
+        rows = rows[np.unique(np.linspace(0, len(rows) - 1, min(PROBES, len(rows))).astype(int))] if len(rows) else rows
+        k = min(k, len(self.vectors) - 1)
+        far = []  # distance of the k-th nearest other row
+        for i in rows:
+            d = ((self.vectors - self.vectors[i]) ** 2).sum(axis=1)
+            d[i] = np.inf
+            far.append(float(np.partition(d, k - 1)[k - 1]))
+        while ef < len(self.vectors):
+            met = sum(sum(d <= f for d, _ in self._nearest(self.vectors[i], ef, i)[:k]) for i, f in zip(rows, far))
+            if met >= RECALL * k * len(rows):
+                break
+            ef *= 2
+        return ef
+
     def search(self, q: np.ndarray, ef: int) -> list[tuple[float, int]]:
         """(squared distance, row) of the ``ef`` nearest found, nearest first."""
-        if self.entry < 0:
-            return []
-        q = self.placed(q)
-        at, best = self.entry, float(((self.vectors[self.entry] - q) ** 2).sum())
-        for layer in self.layers[:0:-1]:
-            while True:
-                around = layer[at]
-                around = around[around >= 0]
-                if not len(around):
-                    break
-                d = ((self.vectors[around] - q) ** 2).sum(axis=1)
-                i = int(np.argmin(d))
-                if d[i] >= best:
-                    break
-                at, best = int(around[i]), float(d[i])
+        return self._nearest(self.placed(q), ef) if self.entry >= 0 else []
+
+    def _nearest(self, q: np.ndarray, ef: int, without: int | None = None) -> list[tuple[float, int]]:
+        """The search for a placed vector, as if the row ``without`` were not there."""
+        starts = [(float(((self.vectors[self.entry] - q) ** 2).sum()), self.entry)]
+        for layer in self.layers[:0:-1]:  # several ways down: a cluster may hang on one of them only
+            starts = self._widened(layer, q, min(ef, WAYS), starts, without)
+        return self._widened(self.layers[0], q, ef, starts, without)
+
+    def _widened(self, layer: np.ndarray, q: np.ndarray, ef: int, starts: list[tuple[float, int]], without: int | None) -> list[tuple[float, int]]:
+        """The ``ef`` nearest found on one level, nearest first, from ``starts``."""
         seen = np.zeros(len(self.vectors), bool)
-        seen[at] = True
-        open_, found = [(best, at)], [(-best, at)]
-        layer = self.layers[0]
-        while open_:
-            d, i = heapq.heappop(open_)
-            if len(found) >= ef and d > -found[0][0]:
-                break
-            around = layer[i]
+        seen[[i for _, i in starts]] = True
+        if without is not None:
+            seen[without] = True
+        open_, found = sorted(starts), [(-d, i) for d, i in sorted(starts)[:ef]]
+        heapq.heapify(found)
+        while open_ and (len(found) < ef or open_[0][0] <= -found[0][0]):
+            around = layer[[heapq.heappop(open_)[1] for _ in range(min(WIDE, len(open_)))]]
             around = around[around >= 0]
-            around = around[~seen[around]]
+            around = np.unique(around[~seen[around]])
             if not len(around):
                 continue
             seen[around] = True
-            for e, j in zip(((self.vectors[around] - q) ** 2).sum(axis=1).tolist(), around.tolist()):
+            d = ((self.vectors[around] - q) ** 2).sum(axis=1)
+            if len(found) >= ef:
+                nearer = d < -found[0][0]
+                d, around = d[nearer], around[nearer]
+            for e, j in zip(d.tolist(), around.tolist()):
                 if len(found) < ef:
                     heapq.heappush(found, (-e, j))
                     heapq.heappush(open_, (e, j))
@@ -154,8 +173,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(F.coalesce(finite, F.lit(False))).where(F.exists("embedding", lambda x: x != 0))
 
 
-def build(vectors: DataFrame, shards: int, k: int) -> DataFrame:
-    """(shard, graph): a row for each shard and vector length, with its pickled flat arrays."""
+def build(vectors: DataFrame, shards: int, k: int, ef: int = EF) -> DataFrame:
+    """(shard, graph): a row for each shard and vector length, with its pickled flat arrays and the candidates that its searches need."""
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The smallest k + 1 ids of each distinct vector of a batch."""
@@ -172,7 +191,8 @@ def build(vectors: DataFrame, shards: int, k: int) -> DataFrame:
         def done() -> pa.RecordBatch:
             keys = sorted(ids)
             exact = np.frombuffer(b"".join(keys), np.float64).reshape(len(keys), -1)
-            data = pickle.dumps((exact, [sorted(ids[x]) for x in keys], Graph(exact)), protocol=5)
+            graph = Graph(exact)
+            data = pickle.dumps((exact, [sorted(ids[x]) for x in keys], graph, graph.enough(k, ef)), protocol=5)
             return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([data], pa.binary())], ["shard", "length", "graph"])
 
         for b in batches:
@@ -190,11 +210,11 @@ def build(vectors: DataFrame, shards: int, k: int) -> DataFrame:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, ef: int = EF) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row of ``vectors`` that meets ``is_query``."""
+    """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row of ``vectors`` that meets ``is_query``; searches keep ``ef`` candidates or more."""
     rows = cut(usable(vectors))
     n, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
     shards = max(1, -(-n // max(1, min(SHARD, SHARD_BYTES // (8 * longest)))))
-    graphs = cut(build(rows, shards, k))
+    graphs = cut(build(rows, shards, k, ef))
     queries = rows.where(is_query).dropDuplicates(["vec_id", "embedding"])
     blocks = max(1, -(-queries.count() // BLOCK))
 
@@ -225,11 +245,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, ef: int = EF) -> D
                     continue
                 if now != (s.as_py(), size.as_py(), part.as_py()):
                     continue  # no vector of this length in the shard
-                exact, ids, graph = loaded
+                exact, ids, graph, wide = loaded
                 out: tuple[list, list, list] = ([], [], [])
                 for i, raw in pickle.loads(data.as_buffer()):
                     q = np.frombuffer(raw, np.float64)
-                    near = [j for _, j in graph.search(q, ef)]
+                    near = [j for _, j in graph.search(q, wide)]
                     score = np.sqrt(np.cumsum((exact[near] - q) ** 2, axis=1)[:, -1])
                     best = heapq.nsmallest(k, ((s, c) for s, j in zip(score.tolist(), near) for c in ids[j] if c != i))
                     for d, c in best:

@@ -431,6 +431,18 @@ def test_hnsw_every_query_meets_every_shard(spark, monkeypatch):
     assert len(set(got) & set(want)) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize(("groups", "spread", "ef"), [(150, 1e-3, 96), (1, 1, 12)])
+def test_hnsw_recall_is_measured(spark, groups, spread, ef):
+    """Clusters that one way down misses, and a search that starts with too few candidates for its vectors."""
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(groups, 64))
+    rows = [(i, (middles[i % groups] + spread * rng.normal(size=64)).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in hnsw.search(df, F.col("vec_id") % 101 == 0, 10, ef).collect()}
+    want = {(q, i) for q, _, i, _ in hnsw.brute_force(rows, set(range(0, 6000, 101)), 10)}
+    assert len(want) == 600 and len(got & want) >= 0.95 * len(want)
+
+
 # 8. mixing
 
 
