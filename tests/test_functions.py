@@ -102,3 +102,12 @@ def test_html():
     assert d["language"] == "en" and d["published_at"] == "2024-01-01"
     empty = htmldoc.extract_document(None, "https://e.com/")
     assert empty["title"] == "" and empty["body"] == "" and empty["links"] == []
+
+
+def test_references_need_their_semicolon(spark):
+    """A title that was cut inside a reference keeps what is left of it, in the parser as in the native form."""
+    page = "<title>a &amp;&amp b &lt c &ampx; &#65; &#66 &eacute;</title><article><h1>d &&amp</h1><p>R&amp;D<a href='/x?a=1&copy=2&amp;b=3'>x</a></article>"
+    d = htmldoc.extract_document(page, "https://e.com/")
+    assert d["title"] == "a &&amp b &lt c &ampx; A &#66 é" and d["headings"] == ["d &&amp"] and d["body"] == "d &&amp R&D x"
+    assert d["links"] == ["https://e.com/x?a=1&b=3&copy=2"]
+    assert one(spark, "<title>a &amp;&amp</title>", htmldoc.title) == htmldoc.extract_document("<title>a &amp;&amp</title>", "")["title"] == "a &&amp"
