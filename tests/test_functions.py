@@ -111,3 +111,34 @@ def test_references_need_their_semicolon(spark):
     assert d["title"] == "a &&amp b &lt c &ampx; A &#66 é" and d["headings"] == ["d &&amp"] and d["body"] == "d &&amp R&D x"
     assert d["links"] == ["https://e.com/x?a=1&b=3&copy=2"]
     assert one(spark, "<title>a &amp;&amp</title>", htmldoc.title) == htmldoc.extract_document("<title>a &amp;&amp</title>", "")["title"] == "a &&amp"
+
+
+def test_python_gets_portions_and_only_what_may_change(spark):
+    import re
+    import unicodedata
+
+    import pyarrow as pa
+
+    from quarry.session import portions
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(7)), "html": ["x" * 100, None, "y" * 900, "z" * 5000, "", "é" * 400, "w"]})
+    parts = list(portions(batch, ["html"], 1000))
+    assert [r for p in parts for r in p.to_pylist()] == batch.to_pylist() and max(len(p) for p in parts) < 7
+    sizes = [[len((t or "").encode()) for t in p.column("html").to_pylist()] for p in parts]
+    assert len(parts) == 3 and all(sum(x) <= 1000 + max(x) for x in sizes)
+    assert list(portions(batch.slice(0, 0), ["html"])) == []
+    rows = [(c, f"ab{chr(c)}z") for c in [*range(0x500), 0x2160, 0xFB01, 0x1D400]] + [(-1, "a & b"), (-2, "&x"), (-3, "&#1"), (-4, ""), (-5, "a\n\nb&"), (-6, "é" * 100_000), (-7, None)]
+    hit = {r.id for r in spark.createDataFrame(rows, "id long, t string").where(text.may_change(F.col("t"))).collect()}
+    assert all(i in hit for i, t in rows if t is not None and unicodedata.normalize("NFKC", t) != t or re.search("&[#A-Za-z]", t or ""))
+    assert not hit & {0x41, 0xE9, 0x17E, -1, -4, -5, -6, -7}
+
+
+def test_pages_and_their_urls_share_one_python_worker(spark):
+    """A task that needs a second worker for the URLs' normal form needs twice the memory."""
+    from quarry.plans.queries import QUERIES
+    from tests.compare import SF
+
+    plan = QUERIES["document_links"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "MapInPandas" not in plan
+    pages = spark.createDataFrame([(1, "HTTP://E.com:80//a?utm_source=x", "<a href=b>"), (2, "no url", None)], "page_id long, url string, html string")
+    assert sorted(map(tuple, htmldoc.extract(pages, normal="n").select("page_id", "n", "links").collect())) == [(1, "http://e.com/a", ["http://e.com/b"]), (2, None, [])]
