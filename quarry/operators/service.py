@@ -53,4 +53,4 @@ def plain_page(index: Index, query: str, limit: int = 10, offset: int = 0) -> Da
 def rebuilt(documents: DataFrame) -> Index:
     """The index of all stored documents (doc_id, body, title, canonical_url, url)."""
     url = F.coalesce(F.when(F.col("canonical_url") != "", F.col("canonical_url")), F.col("url"), F.lit(""))
-    return Index.build(documents.select("doc_id", F.coalesce("body", F.lit("")).alias("text"), F.coalesce("title", F.lit("")).alias("title"), url.alias("url")))
+    return Index.build(documents.select("doc_id", F.coalesce("body", F.lit("")).alias("text"), F.coalesce("title", F.lit("")).alias("title"), url.alias("url")), dealt="term")

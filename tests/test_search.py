@@ -195,3 +195,21 @@ def test_snapshot_lines_and_crawled_links(spark, tmp_path):
     line = '{"term":"alpha","postings":[{"doc_id":1,"tf":2}]}'
     assert [r.line_sha256 for r in rows if r.term == "alpha"] == [hashlib.sha256(line.encode()).hexdigest()]
     assert {r.url: r.depth for r in QUERIES["crawl_bfs"](spark, str(tmp_path)).collect()} == {"https://e.com/a": 0, "https://e.com/b": 1, "https://e.com/c": 2}
+
+
+def test_dealt_indexes_are_equal_and_weights_need_no_sort(spark, index):
+    docs = spark.createDataFrame(CORPUS, "doc_id long, url string, title string, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    plain = Index.build(docs)
+    for column in ("term", "doc_id"):
+        assert rows(Index.build(docs, dealt=column).postings.select("term", "doc_id", "tf")) == rows(plain.postings.select("term", "doc_id", "tf"))
+    dealt = Index.build(docs, dealt="term")
+    want = search.tfidf(plain).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("weight").alias("m"), F.sum("weight").alias("s"))
+    got = search.tfidf_by_document(dealt)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan and plan.count("REPARTITION_BY_COL") == 2  # both uses are one exchange
+    assert [pytest.approx(x) for x in rows(want)] == rows(got)
+    lines = dealt.json_lines()
+    assert {r.term for r in lines.where("doc_id IS NULL").collect()} == {r.term for r in plain.vocabulary().collect()} and lines.where("term IS NULL").count() == 10
+    odd = Index.from_json(Index.build(spark.createDataFrame([(1, "a word", 'has "postings":[ in it', "u")], "doc_id long, text string, title string, url string"), dealt="term").to_json())
+    assert odd.documents.first().title == 'has "postings":[ in it' and odd.postings.count() == 1
