@@ -197,6 +197,26 @@ def test_snapshot_lines_and_crawled_links(spark, tmp_path):
     assert {r.url: r.depth for r in QUERIES["crawl_bfs"](spark, str(tmp_path)).collect()} == {"https://e.com/a": 0, "https://e.com/b": 1, "https://e.com/c": 2}
 
 
+def test_judged_looks_at_what_the_whole_run_would(spark):
+    """The first ten and the best relevant hit give the figures of the whole run, with ties and with the best far below."""
+    hits = [(q, d, float((d * 7 + q) % 13)) for q in range(4) for d in range(60)]
+    hits = spark.createDataFrame(hits, "query_id long, doc_id long, bm25 double")
+    qrels = spark.createDataFrame([(0, 3), (0, 59), (1, 11), (1, 99), (2, 25), (2, 26), (3, 77)], "query_id long, doc_id long")
+    whole = evaluate.ranked(hits, "bm25")
+    few = evaluate.judged(hits, "bm25", qrels)
+    assert few.count() <= 44 and few.exceptAll(whole).count() == 0
+    rows = lambda run: sorted(map(tuple, evaluate.per_query(run, qrels).collect()))
+    assert rows(few) == rows(whole)
+
+
+def test_holders_find_every_passage(spark):
+    docs = [(1, "one two three four"), (2, "someone two threefold"), (3, "two"), (4, "one  two three"), (5, ""), (6, None), (7, "über-wide one two three, on"), (8, "!?")]
+    items = [(10, "one two three"), (11, "two"), (12, "ne two three"), (13, "e t"), (14, "?"), (15, "two three f"), (16, "wide one two three, on")]
+    want = sorted((q, d) for q, p in items for d, t in docs if t and p in t)
+    got = evaluate.holders(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "query_id long, passage string"))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 15
+
+
 def test_dealt_indexes_are_equal_and_weights_need_no_sort(spark, index):
     docs = spark.createDataFrame(CORPUS, "doc_id long, url string, title string, text string")
     rows = lambda df: sorted(map(tuple, df.collect()))
